@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cover_tree import embedding_near_duplicates
+from .mixing import mix_report
 from .ngram_join import NgramJoin
+from .sharding import shard_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,23 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(spark).result(table(spark, sf_dir, "documents"))
 
 
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(spark, table(spark, sf_dir, "documents"), 24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_pivotal_mixing": op6_pivotal_mixing,
+    "op8_cover_tree_near_dedup": op8_cover_tree_near_dedup,
+    "op10_minimax_sharding": op10_minimax_sharding,
 }
 
 ORACLES: dict[str, str] = {}
