@@ -331,6 +331,20 @@ class NgramJoin:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest doc_id of each component; one of rows that repeat an id and a text.
+
+    Rows with a null doc_id stay, unless they repeat a text.  An id that stands for different texts goes if one of them does.
+    """
+    found = NgramJoin(spark, **options)
+    named = found.scratch.save(found.result(docs), "components")
+    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if not named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("__th", F.xxhash64("text")).dropDuplicates(["doc_id", "__th"]).drop("__th")
+    return kept
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     z = np.sort(np.concatenate((x, y)), kind="stable")
     return int((z[1:] == z[:-1]).sum())
