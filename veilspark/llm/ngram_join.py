@@ -10,10 +10,13 @@ documents share isn't in their prefixes.  Which shingles are frequent is an unbi
 documents of which the ``most_frequent`` largest are kept: it decides the order, and so the cost, never
 the result.  The further orders are different hash orders.
 
-Groups of thousands of near copies share long posting lists.  For each list of ``crowd`` classes or
-more, first only pairs with a centre of the list are verified; then all pairs of all lists whose
-classes aren't yet connected.  So no link between different components is lost, and a group's
-pairs aren't all spelled out.  Lists of frequent shingles are split over tasks by a salt.
+Groups of thousands of near copies share long posting lists.  From each list of ``crowd`` classes or
+more, first only pairs with a centre of the list are verified, in ``rounds`` rounds with other centres for those not
+yet linked; centres are classes that are on many such lists, as the text behind a group of copies is.  Then all
+pairs of all lists whose classes aren't yet connected are candidates.  A class is left out of a list if all the lists
+that it is on are fewer than the shared shingles it would need with any size on that list.  So no link between
+different components is lost, and a group's pairs aren't all spelled out.  Lists of frequent shingles are split
+over tasks by a salt.
 """
 
 from __future__ import annotations
@@ -67,14 +70,15 @@ class NgramJoin:
 
     threshold: as a fraction ``t_num / t_den``; width: words of a shingle; most_frequent: bound of the
     broadcast table of frequent shingles; least_frequent: documents that make a shingle frequent;
-    crowd: list length from which centres are tried first; tile: rows of a list in one task;
+    crowd: list length from which centres are tried first, in so many rounds; tile: main members of a family
+    of lists in one task;
     orders: global orders in all.
     """
 
-    def __init__(self, spark: SparkSession, width: int = 5, t_num: int = 75, t_den: int = 100, most_frequent: int = 1 << 18, least_frequent: int = 64, crowd: int = 16, tile: int = 8192, orders: int = 3):
+    def __init__(self, spark: SparkSession, width: int = 5, t_num: int = 75, t_den: int = 100, most_frequent: int = 1 << 18, least_frequent: int = 64, crowd: int = 16, rounds: int = 2, tile: int = 128, orders: int = 3):
         self.spark, self.scratch = spark, Scratch(spark)
         self.width, self.t_num, self.t_den = width, t_num, t_den
-        self.most_frequent, self.least_frequent, self.crowd, self.tile, self.orders = most_frequent, least_frequent, crowd, tile, orders
+        self.most_frequent, self.least_frequent, self.crowd, self.rounds, self.tile, self.orders = most_frequent, least_frequent, crowd, rounds, tile, orders
 
     # -- sets, classes and frequent shingles ------------------------------------------------
 
@@ -123,7 +127,7 @@ class NgramJoin:
 
     def _postings(self, docs: DataFrame, frequent) -> DataFrame:
         """(token, key, n, salt) for each class and each shingle of its prefix under the first order."""
-        width, t_num, t_den, tile = self.width, self.t_num, self.t_den, self.tile
+        width, t_num, t_den, tile = self.width, self.t_num, self.t_den, 8192
         shared = self.spark.sparkContext.broadcast(frequent)
         schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("salt", pa.int32())])
 
@@ -157,9 +161,8 @@ class NgramJoin:
         return docs.mapInArrow(work, "token long, key long, n int, salt int")
 
     def _lists(self, postings: DataFrame) -> DataFrame:
-        """Posting lists of two classes or more (all parts of a salted list), with a centre where they are crowded."""
-        crowd = self.crowd
-        schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("centre", pa.int64()), ("centre_n", pa.int32())])
+        """(token, key, n, m): posting lists of two classes or more (m; all parts of a salted list)."""
+        schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("m", pa.int32())])
 
         def work(batches):
             got = [(_column(b, "token"), _column(b, "key"), _column(b, "n"), _column(b, "salt")) for b in batches if b.num_rows]
@@ -174,81 +177,128 @@ class NgramJoin:
             starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
             runs = np.diff(np.r_[starts, len(token)])
             keep = np.repeat((runs > 1) | (salt[starts] > 0), runs)
-            centre, centre_n, none = np.zeros(len(token), dtype=np.int64), np.zeros(len(token), dtype=np.int32), np.ones(len(token), dtype=bool)
-            for a, m in zip(starts[runs >= crowd], runs[runs >= crowd], strict=True):
-                i = a + int(np.argmin(mix(key[a : a + m].view(np.uint64), 701 + int(token[a]) % 8)))
-                centre[a : a + m], centre_n[a : a + m], none[a : a + m] = key[i], n[i], False
+            token, key, n, m = token[keep], key[keep], n[keep], np.repeat(runs, runs)[keep].astype(np.int32)
             for i in range(0, len(token), 1 << 18):
-                k = keep[i : i + (1 << 18)]
                 part = slice(i, i + (1 << 18))
-                yield pa.record_batch([pa.array(token[part][k]), pa.array(key[part][k]), pa.array(n[part][k]), pa.array(centre[part][k], mask=none[part][k]), pa.array(centre_n[part][k], mask=none[part][k])], schema=schema)
+                yield pa.record_batch([pa.array(token[part]), pa.array(key[part]), pa.array(n[part]), pa.array(m[part])], schema=schema)
 
-        return postings.repartition("token", "salt").mapInArrow(work, "token long, key long, n int, centre long, centre_n int")
+        return postings.repartition("token", "salt").mapInArrow(work, "token long, key long, n int, m int")
+
+    def _stars(self, crowd: DataFrame, turn: int) -> DataFrame:
+        """(a, b): pairs of a list's centre and its members that aren't linked yet."""
+        weight = F.expr(f"popular * (1 + 0.0002 * pmod(xxhash64(key, pmod(token, 8), {turn}), 1000))")
+        centres = crowd.groupBy("token").agg(F.max(F.struct(weight.alias("w"), "key", "n")).alias("c")).select("token", F.col("c.key").alias("a"), F.col("c.n").alias("an"))
+        fit = f"least(n, an) * {self.t_den} >= greatest(n, an) * {self.t_num} and key <> a"
+        open_rows = crowd.where("not linked").join(centres, "token").where(fit)
+        return open_rows.select("a", F.col("key").alias("b")).distinct()
 
     def _unconnected(self, lists: DataFrame, linked: DataFrame) -> DataFrame:
-        """(a, b, na, nb, shared): pairs of classes on a list that aren't in one component yet and whose sizes fit, with the lists that they share."""
-        t_num, t_den, tile = self.t_num, self.t_den, self.tile
+        """(a, b): pairs of classes that aren't in one component yet and share enough lists.
+
+        Short lists are compared list by list.  Crowded ones form families by the component that most of their members
+        have; all lists of a family meet in the same tasks, so a pair's shared lists are counted there and aren't written
+        one by one.  A family's main component is dealt in parts, its other members too; two parts of the main component never meet.
+        """
+        t_num, t_den, crowd, main_part, other_part = self.t_num, self.t_den, self.crowd, self.tile, 4 * self.tile
+
+        def need(m):
+            return f"(ceil({t_num} * (n + {m}) / {t_num + t_den}) - greatest(ceil({t_num} * n / {t_den}), ceil({t_num} * {m} / {t_den})) + 1)"
+
         rows = lists.select("token", "key", "n").join(linked.select(F.col("node").alias("key"), "component"), "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("component"))
-        # a list with one component has nothing left; longer ones are dealt in tiles, each pair of parts to one task
-        kinds = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        rows = rows.join(kinds.select("token", F.expr(f"cast(m div {tile} as int) + 1").alias("parts")), "token")
-        rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(key), parts) as int)")).withColumn("tile", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(part, j) as i, greatest(part, j) as j))")))
-        rows = rows.select("token", "key", "n", "component", "part", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
+        kinds = rows.groupBy("token", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+        kinds = kinds.groupBy("token").agg(F.count("*").alias("parts"), F.sum("c").alias("m"), F.max(F.struct("c", "component")).getField("component").alias("main"), F.min("least").alias("least"), F.max("most").alias("most"))
+        rows = rows.join(kinds.where("parts > 1").drop("parts"), "token")  # a list with one component has nothing left
+        rows = rows.withColumn("least", F.expr(f"greatest(least, cast(ceil({t_num} * n / {t_den}) as int))")).withColumn("most", F.expr(f"least(most, cast(floor({t_den} * n / {t_num}) as int))"))
+        rows = rows.withColumn("big", F.expr(f"m >= {crowd}")).withColumn("family", F.expr("if(big, main, token)")).withColumn("inner", F.expr("big and component = main"))
+        rows = self.scratch.save(rows, "open")
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").cast("int").alias("on")), "key").where(f"least <= most and on + 1 >= least({need('least')}, {need('most')})")
+        short = rows.where("not big").select("token", "key", "n", "component", "on", F.lit(False).alias("big"), "family", F.lit(0).alias("part"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+        crowded = rows.where("big")
+        members = crowded.select("family", "key", "inner").distinct().groupBy("family").agg(F.expr(f"cast(count_if(inner) div {main_part} as int) + 1").alias("p"), F.expr(f"cast(count_if(not inner) div {other_part} as int) + 1").alias("q"))
+        crowded = crowded.join(members, "family").withColumn("part", F.expr("if(inner, pmod(xxhash64(key), p), p + pmod(xxhash64(key), q))").cast("int"))
+        meets = F.expr("if(inner, transform(sequence(p, p + q - 1), k -> struct(part as i, k as j)), concat(transform(sequence(0, p - 1), k -> struct(k as i, part as j)), transform(sequence(p, p + q - 1), k -> struct(least(k, part) as i, greatest(k, part) as j))))")
+        crowded = crowded.withColumn("tile", F.explode(meets)).select("token", "key", "n", "component", "on", "big", "family", "part", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("shared", pa.int32())])
 
-        def emit(pairs):
-            a, b, na, nb = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        def required(n, m):
+            return _needed(n, m, t_num, t_den) - np.maximum(-(-t_num * n // t_den), -(-t_num * m // t_den)) + 1
+
+        def later(starts, stops, n, good):
+            """Index pairs (left, right) of each run whose sizes fit and which are good; runs are in order of n."""
+            stop_of = np.repeat(stops, stops - starts)
+            left, k = np.repeat(starts, stops - starts) + np.arange(len(stop_of)) - np.repeat(np.cumsum(stops - starts) - (stops - starts), stops - starts), 1
+            while len(left):
+                fits = left + k < stop_of
+                left, stop_of = left[fits], stop_of[fits]
+                fits = n[left + k] * t_num <= n[left] * t_den
+                left, stop_of = left[fits], stop_of[fits]
+                pick = good(left, left + k)
+                if pick.any():
+                    yield left[pick], left[pick] + k
+                k += 1
+
+        def emit(a, b, na, nb, shared):
             swap = a > b
-            a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-            at = np.lexsort((b, a))
-            a, b, na, nb = a[at], b[at], na[at], nb[at]
-            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            return pa.record_batch([pa.array(a[starts]), pa.array(b[starts]), pa.array(na[starts].astype(np.int32)), pa.array(nb[starts].astype(np.int32)), pa.array(np.diff(np.r_[starts, len(a)]).astype(np.int32))], schema=schema)
+            return pa.record_batch([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, nb, na).astype(np.int32)), pa.array(np.where(swap, na, nb).astype(np.int32)), pa.array(shared.astype(np.int32))], schema=schema)
 
         def work(batches):
-            got = [[_column(b, c) for c in ("token", "key", "n", "component", "part", "i", "j")] for b in batches if b.num_rows]
+            got = [[_column(b, c) for c in ("token", "key", "n", "component", "on", "big", "family", "part", "i", "j")] for b in batches if b.num_rows]
             if not got:
                 return
-            token, key, n, component, part, i, j = (np.concatenate(x) for x in zip(*got, strict=True))
-            n = n.astype(np.int64)
-            at = np.lexsort((n, j, i, token))
-            token, key, n, component, part, i, j = (x[at] for x in (token, key, n, component, part, i, j))
-            starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            token, key, n, component, on, big, family, part, i, j = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            n, on = n.astype(np.int64), on.astype(np.int64)
+            at = np.lexsort((n, token, j, i, family, big))
+            token, key, n, component, on, big, family, part, i, j = (x[at] for x in (token, key, n, component, on, big, family, part, i, j))
+            tile = np.r_[True, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (big[1:] != big[:-1])]
+            starts = np.flatnonzero(tile | np.r_[True, token[1:] != token[:-1]])
             stops = np.r_[starts[1:], len(token)]
-            pairs, held = [], 0
-            # all lists at once: the k-th later member of each row's list, until sizes no longer fit anywhere
-            stop_of = np.repeat(stops, stops - starts)
-            left = np.arange(len(token))
-            k = 1
-            while len(left):
-                right = left + k
-                fits = right < stop_of[left]
-                fits[fits] = n[right[fits]] * t_num <= n[left[fits]] * t_den
-                left = left[fits]
-                right = left + k
-                good = (component[left] != component[right]) & ((i[left] == j[left]) | (part[left] != part[right]))
-                if good.any():
-                    pairs.append((key[left[good]], key[right[good]], n[left[good]], n[right[good]]))
-                    held += int(good.sum())
-                    if held > 1_000_000:
-                        yield emit(pairs)
-                        pairs, held = [], 0
-                k += 1
-            if pairs:
-                yield emit(pairs)
-
-        made = rows.repartition("token", "i", "j").mapInArrow(work, "a long, b long, na int, nb int, shared int")
+            small = ~big[starts]
+            for left, right in later(starts[small], stops[small], n, lambda x, y: (component[x] != component[y]) & (np.minimum(on[x], on[y]) >= required(n[x], n[y]))):
+                yield emit(key[left], key[right], n[left], n[right], np.ones(len(left)))
+            edges = np.r_[np.flatnonzero(tile), len(token)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if not big[a]:
+                    continue
+                of = slice(int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b)))
+                names, first, own, lists_of = np.unique(key[a:b], return_index=True, return_inverse=True, return_counts=True)
+                size, rest = n[a:b][first], on[a:b][first] - lists_of
+                same = i[a] == j[a]
+                codes, counts, held = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], 0
+
+                def merge(codes, counts):
+                    code, count = np.concatenate(codes), np.concatenate(counts)
+                    at = np.argsort(code, kind="stable")
+                    code, count = code[at], count[at]
+                    begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, dtype=np.int64)
+                    return [code[begin]], [np.add.reduceat(count, begin) if len(begin) else count]
+
+                for left, right in later(starts[of], stops[of], n, lambda x, y: (component[x] != component[y]) & (same | (part[x] != part[y]))):
+                    x, y = own[left - a], own[right - a]
+                    codes.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+                    counts.append(np.ones(len(x), dtype=np.int64))
+                    held += len(x)
+                    if held > 2_000_000:
+                        codes, counts = merge(codes, counts)
+                        held = 0
+                codes, counts = merge(codes, counts)
+                x, y = codes[0] // len(names), codes[0] % len(names)
+                pick = counts[0] + np.minimum(rest[x], rest[y]) >= required(size[x], size[y])
+                if pick.any():
+                    x, y = x[pick], y[pick]
+                    yield emit(names[x], names[y], size[x], size[y], counts[0][pick])
+
+        made = short.union(crowded).repartition("big", "family", "i", "j").mapInArrow(work, "a long, b long, na int, nb int, shared int")
         pairs = made.groupBy("a", "b").agg(F.max("na").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"), F.sum("shared").alias("shared"))
         n, m = F.col("na"), F.col("nb")
-        rest = F.greatest(*[F.expr(f"{c} - ({c} - ceil({t_num} * {c} / {t_den}) + 1)") for c in ("na", "nb")])
+        rest = F.greatest(F.ceil(t_num * n / t_den), F.ceil(t_num * m / t_den)) - 1
         return pairs.where(F.col("shared") >= F.ceil(t_num * (n + m) / (t_num + t_den)) - rest).select("a", "b")
 
     # -- verification -----------------------------------------------------------------------
 
-    def _verified(self, pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs (a, b) of class keys that link; the further orders' filters come before whole sets are compared."""
-        width, t_num, t_den, orders = self.width, self.t_num, self.t_den, self.orders
-        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    def _sets(self, ends: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(key, tokens): the whole sets of the classes in ``ends(key)``."""
+        width = self.width
         wanted = classes.join(ends, "key", "left_semi").select("rep", "key")
         bloom = self.spark.sparkContext.broadcast(bloom_of(wanted, "rep"))
         schema = pa.schema([("key", pa.int64()), ("tokens", pa.binary())])
@@ -268,6 +318,13 @@ class NgramJoin:
                 if keys:
                     yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], schema=schema)
 
+        known = docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "key long, tokens binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
+        return self.scratch.save(known, "sets")
+
+    def _compare(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs (a, b) of class keys that link; the further orders' filters come before whole sets are compared."""
+        t_num, t_den, orders = self.t_num, self.t_den, self.orders
+
         def linked(batches):
             out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
             for batch in batches:
@@ -293,13 +350,21 @@ class NgramJoin:
             shared = _common(x, y)
             return t_den * shared >= t_num * (len(x) + len(y) - shared)
 
-        known = docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "key long, tokens binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
-        known = self.scratch.save(known, "sets")
         left = pairs.join(known.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
         both = left.join(known.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-        out = self.scratch.save(both.mapInArrow(linked, "a long, b long"), "links")
-        self.scratch.drop(known)
-        return out
+        return self.scratch.save(both.mapInArrow(linked, "a long, b long"), "links")
+
+    def _crowds(self, lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(a, b): links of centres of crowded lists."""
+        crowd = lists.where(F.col("m") >= self.crowd).select("token", "key", "n")
+        crowd = self.scratch.save(crowd.join(crowd.groupBy("key").agg(F.count("*").alias("popular")), "key"), "crowd")
+        known = self._sets(crowd.select("key").distinct(), docs, classes)
+        found = self._compare(self._stars(crowd.withColumn("linked", F.lit(False)), 0), known)
+        for turn in range(1, self.rounds):
+            done = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct().withColumn("linked", F.lit(True))
+            state = crowd.join(done, "key", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+            found = found.union(self._compare(self._stars(state, turn), known))
+        return found
 
     # -- the whole job ------------------------------------------------------------------------
 
@@ -316,12 +381,11 @@ class NgramJoin:
         sized = measured.where("kind = 0").select(F.col("id").alias("doc_id"), "key", "n")
         classes = self.scratch.save(sized.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
         lists = self.scratch.save(self._lists(self._postings(docs, frequent)), "lists")
-        fit = f"least(n, centre_n) * {self.t_den} >= greatest(n, centre_n) * {self.t_num} and key <> centre"
-        stars = self.scratch.save(lists.where("centre is not null").where(fit).select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-        first = self._verified(stars, docs, classes)
-        merged = self.scratch.save(connected_components(first, self.scratch), "merged")
+        edges = self._crowds(lists, docs, classes)
+        merged = self.scratch.save(connected_components(edges, self.scratch), "merged")
         rest = self.scratch.save(self._unconnected(lists, merged), "pairs")
-        second = self._verified(rest, docs, classes)
+        ends = rest.select(F.col("a").alias("key")).union(rest.select(F.col("b").alias("key"))).distinct()
+        second = self._compare(rest, self._sets(ends, docs, classes))
         edges = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
         components = connected_components(edges, self.scratch)
         named = classes.join(components, classes.key == components.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
