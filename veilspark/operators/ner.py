@@ -17,7 +17,7 @@ def chunks(text: Column, most: int = 1000, least: int = 12) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,text:string>>").alias("out"))
 
     def pack(acc, line):
-        last = F.element_at(acc["out"], -1)
+        last = F.try_element_at(acc["out"], F.lit(-1))
         fits = (F.size(acc["out"]) > 0) & (F.length(last["text"]) + 1 + F.length(line) <= most)
         grown = F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(last["offset"].alias("offset"), F.concat(last["text"], F.lit("\n"), line).alias("text"))))
         fresh = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("offset"), line.alias("text"))))

@@ -13,13 +13,15 @@ from .suppress import proposal_rejection
 _ANY_LABEL = java(r"^[A-Za-z][A-Za-z/&'. -]{1,38}:\s+(\S.*)$")
 
 
-def bare_term(x: Column) -> Column:
-    """A phrase without up to two labels before it."""
-    x = normalized(x)
-    for _ in range(2):
-        value = normalized(F.when(x.rlike(LABEL_VALUE), F.regexp_extract(x, LABEL_VALUE, 1)).when(x.rlike(_ANY_LABEL), F.regexp_extract(x, _ANY_LABEL, 1)))
-        x = F.when(value.isNotNull() & redactable(value, True), value).otherwise(x)
-    return x
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later expressions refer to and never repeat: a generator keeps the optimizer from inlining it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def without_label(x: Column) -> Column:
+    """The value behind a label at the start of a phrase, else the phrase."""
+    value = normalized(F.when(x.rlike(LABEL_VALUE), F.regexp_extract(x, LABEL_VALUE, 1)).when(x.rlike(_ANY_LABEL), F.regexp_extract(x, _ANY_LABEL, 1)))
+    return F.when(value.isNotNull() & redactable(value, True), value).otherwise(x)
 
 
 def propose_terms(lines: DataFrame, policy: Policy, paths: DataFrame | None = None) -> DataFrame:
@@ -35,7 +37,11 @@ def propose_terms(lines: DataFrame, policy: Policy, paths: DataFrame | None = No
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    every = every.select(bare_term(F.col("value")).alias("term"), "why").where(redactable(F.col("term"), True))
+    every = computed(every, "term", normalized(F.col("value")))
+    for step in ("once", "twice"):  # up to two labels
+        every = computed(every, step, without_label(F.col("term"))).drop("term").withColumnRenamed(step, "term")
+    every = every.where(redactable(F.col("term"), True))
     words = F.size(F.regexp_extract_all("term", F.lit(java(r"\w+")), F.lit(0)))
-    every = every.where((words >= 2) & (F.length(F.regexp_replace("term", r"[^\p{L}\p{Nd}]", "")) >= 7) & proposal_rejection(F.col("term"), policy).isNull())
+    every = every.where((words >= 2) & (F.length(F.regexp_replace("term", r"[^\p{L}\p{Nd}]", "")) >= 7))
+    every = computed(every, "rejected", proposal_rejection(F.col("term"), policy)).where("rejected is null")
     return every.groupBy("term").agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set("why")).alias("reasons")).orderBy(F.lower("term"), "term")

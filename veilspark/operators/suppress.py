@@ -18,7 +18,7 @@ def _one_of(x: Column, values) -> Column:
 
 def first_phrase(folded: Column, phrases: tuple[str, ...]) -> Column:
     """The first phrase that the folded text contains, in the list's order, or null."""
-    return F.element_at(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(folded, p)), 1) if phrases else F.lit(None).cast("string")
+    return F.get(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(folded, p)), F.lit(0)) if phrases else F.lit(None).cast("string")
 
 
 def structural_name(x: Column, policy: Policy) -> Column:
@@ -76,7 +76,7 @@ def shape_rejection(x: Column) -> Column:
     n, letters = F.length(x), F.length(F.regexp_replace(x, r"\P{L}", ""))
     odd = n - F.length(F.translate(x, V.MOJIBAKE_GLYPHS, ""))
     flip = F.exists(tokens, lambda t: (lambda b: b.rlike(r"^[A-Za-z]{4,}$") & ~b.rlike("^(?:Mc|Mac|De|Di|La|Le|Van|Von|O)[A-Z]") & b.rlike("[a-z][A-Z]"))(F.btrim(t, F.lit(".,:;'\"()[]-"))))
-    first = F.element_at(F.filter(words, lambda w: w.rlike(r"^\p{L}")), 1)
+    first = F.get(F.filter(words, lambda w: w.rlike(r"^\p{L}")), F.lit(0))
     function = F.size(F.filter(words, lambda w: F.lower(w).isin(*V.FUNCTION_WORDS)))
     return F.coalesce(
         F.when(odd / n > V.MAX_MOJIBAKE_RATIO, F.lit("mojibake")),

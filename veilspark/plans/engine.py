@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import containing_line, keyed_digest, masked_shape
+from ..operators.propose import computed
 from ..operators.redact import redact
 from ..operators.report import release_status, residual_cap, sorted_counts
 from ..operators.scan import scan
@@ -24,7 +25,8 @@ class Engine:
         found = scan(docs.select("doc_id", "text"), policy=self.policy)
         line = containing_line(F.col("text"), F.col("start"), F.col("end"))
         rule = candidate_suppression(F.col("category"), F.col("match"), self.policy, context=line)
-        return found.select("doc_id", "category", "ord", "start", "end", "match", rule.alias("rule"), product_evidence(F.col("text"), F.col("start"), F.col("end"), self.policy).alias("evidence"))
+        found = computed(found, "rule", rule)
+        return found.select("doc_id", "category", "ord", "start", "end", "match", "rule", product_evidence(F.col("text"), F.col("start"), F.col("end"), self.policy).alias("evidence"))
 
     def redact(self, docs: DataFrame, mask: str | None = None) -> DataFrame:
         return redact(docs, self.matches(docs).where("rule is null"), mask=mask)

@@ -90,7 +90,7 @@ add(
 add(
     "denylist_scan",
     lambda spark, d: scan.scan(view(spark, d, "v_deny"), categories=("denylist",), policy=POLICY).groupBy("id").agg(F.count("*").alias("matches"), F.min("match").alias("first_match")),
-    with_views("v_deny") + r"SELECT id, len(m)::BIGINT AS matches, m[1] AS first_match FROM (SELECT id, regexp_extract_all(text, '(?i)(^|[^A-Z0-9])(CCR[\s\-‐-―−]*21109)([^A-Z0-9]|$)', 2) AS m FROM v_deny) WHERE len(m) > 0",
+    with_views("v_deny") + r"SELECT id, len(m)::BIGINT AS matches, m[1] AS first_match FROM (SELECT id, regexp_extract_all(text, '(?i)(^|[^A-Z0-9])(CCR[\s\-‐‑‒–—―−]*21109)([^A-Z0-9]|$)', 2) AS m FROM v_deny) WHERE len(m) > 0",
 )
 
 # -- labels ----------------------------------------------------------------------------------

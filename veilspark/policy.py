@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from . import policy_values as V
 
 # dash characters that vary in rendered text
-_DASHES = "-‐‑‒–—―−"
+_DASHES = r"\-‐‑‒–—―−"
 _FOLD_FROM, _FOLD_TO = "‘’‚‛“”„‐‑‒–—―−   ", "''''\"\"\"-------   "
 
 
@@ -50,7 +50,7 @@ def term_pattern(term: str) -> str:
     out = []
     for chunk in re.findall(rf"[\s{_DASHES}]+|[^\s{_DASHES}]+", term):
         if re.match(rf"[\s{_DASHES}]", chunk):
-            out.append(rf"[\s{_DASHES[1:]}\-]" + ("*" if any(c in _DASHES for c in chunk) else "+"))
+            out.append(rf"[\s{_DASHES}]" + ("*" if re.search(f"[{_DASHES}]", chunk) else "+"))
         elif len(chunk) > 1 and chunk.endswith("."):
             out.append(re.escape(chunk[:-1]) + r"\.?")
         else:
