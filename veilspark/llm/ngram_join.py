@@ -106,7 +106,7 @@ class NgramJoin:
                         seen.add(key)
                         parts.append(tokens)
                         held += len(tokens)
-                        if held >= 4_000_000:
+                        if held >= 1_000_000:
                             yield counted(parts, block)
                             parts, held, block = [], 0, block + 1
                 ids = batch.column(0)

@@ -90,7 +90,7 @@ def in_bloom(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds the Arrow batches that go to Python in bytes, so that long texts or sets stay small in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
