@@ -37,6 +37,7 @@ def propose_terms(lines: DataFrame, policy: Policy, paths: DataFrame | None = No
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
+    every = every.groupBy("value", "why").agg(F.count("*").alias("n"))  # each distinct phrase is examined once
     every = computed(every, "term", normalized(F.col("value")))
     for step in ("once", "twice"):  # up to two labels
         every = computed(every, step, without_label(F.col("term"))).drop("term").withColumnRenamed(step, "term")
@@ -44,4 +45,4 @@ def propose_terms(lines: DataFrame, policy: Policy, paths: DataFrame | None = No
     words = F.size(F.regexp_extract_all("term", F.lit(java(r"\w+")), F.lit(0)))
     every = every.where((words >= 2) & (F.length(F.regexp_replace("term", r"[^\p{L}\p{Nd}]", "")) >= 7))
     every = computed(every, "rejected", proposal_rejection(F.col("term"), policy)).where("rejected is null")
-    return every.groupBy("term").agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set("why")).alias("reasons")).orderBy(F.lower("term"), "term")
+    return every.groupBy("term").agg(F.sum("n").alias("occurrences"), F.array_sort(F.collect_set("why")).alias("reasons")).orderBy(F.lower("term"), "term")

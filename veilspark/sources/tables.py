@@ -26,9 +26,9 @@ def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
 def read_terms(spark: SparkSession, path: str, allow_short: bool = False, skip_private: bool = False) -> DataFrame:
     """(term) from a JSON object of strings or lists of strings; keys that begin with _ can be skipped."""
     whole = spark.read.text(path, wholetext=True)
-    lists = whole.select(F.explode(F.from_json("value", "map<string,array<string>>", {"mode": "PERMISSIVE"})).alias("key", "values"))
-    singles = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")).where(~F.col("value").startswith("["))
-    rows = lists.select("key", F.explode("values").alias("value")).union(singles.select("key", "value"))
+    fields = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    values = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    rows = fields.select("key", F.explode(values).alias("value"))
     if skip_private:
         rows = rows.where(~F.col("key").startswith("_"))
     return rows.select(normalized(F.col("value")).alias("term")).where(redactable(F.col("term"), allow_short)).distinct()
