@@ -46,13 +46,11 @@ def reply_paths(spark: SparkSession, messages: DataFrame, branches: int = 1, scr
     # state: nearest ancestor not yet summed, steps taken, sum of scores of the node and of the ancestors passed
     jumps: list[DataFrame] = []
     state = scratch.save(nodes.join(linked, ["tree", "node"], "left").select("tree", "node", "up", F.lit(1).alias("depth"), F.col("score").alias("sum")), "state")
-    total = None
-    while True:
+    total = state.count()
+    while 2 ** len(jumps) <= total:  # nodes still open after as many steps as there are nodes are on cycles
         open_nodes = state.where("up is not null")
-        left = open_nodes.count()
-        if not left or left == total and len(jumps) > 40:  # only cycles are left
+        if open_nodes.isEmpty():
             break
-        total = left
         jumps.append(scratch.save(open_nodes.select("tree", "node", "up"), "jump"))
         ahead = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("sum").alias("s"))
         moved = open_nodes.join(ahead, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("sum") + F.col("s")).alias("sum"))
