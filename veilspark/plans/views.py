@@ -21,7 +21,7 @@ VIEWS = {
     "v_url": ("supplier", "s_suppkey AS id", "concat('See https://host', s_suppkey, '.example.org/a?b=1 and plans.com') AS text"),
     "v_short": ("part", "p_partkey AS id", "CASE p_partkey % 12 WHEN 0 THEN concat(p_size, ' CIR') WHEN 1 THEN '32 13 13' WHEN 2 THEN '16 inches o.c.' WHEN 3 THEN concat('Owner', chr(39), 's') WHEN 4 THEN 'Hatco Corporation' WHEN 5 THEN ' ( Contractors ) ' WHEN 6 THEN 'SEE NOTE THIS SHEET for details' WHEN 7 THEN 'ASTM A36' WHEN 8 THEN concat('Article ', p_size) WHEN 9 THEN p_name WHEN 10 THEN '  ' ELSE concat('L', p_size % 9, '.0') END AS text"),
     "v_label": ("orders", "o_orderkey AS id", "CASE o_orderkey % 4 WHEN 0 THEN concat('Owner: Bay ', o_custkey, ' Holdings') WHEN 1 THEN 'Prepared by:' WHEN 2 THEN concat('Project Number - P', o_orderkey) ELSE concat('Note ', o_orderkey) END AS text"),
-    "v_page": ("orders", "o_custkey % 40 AS doc_id", "o_orderkey AS ord", "CASE o_orderkey % 5 WHEN 0 THEN 'OWNER:' WHEN 1 THEN concat('Harbor ', o_custkey, ' Holdings LLC') WHEN 2 THEN 'DRAWN BY' ELSE concat('General text ', o_orderkey) END AS text", "cast(o_custkey % 3 * 30 AS double) AS x0", "cast(o_orderkey % 5000 AS double) AS y0", "cast(o_custkey % 3 * 30 + 90 AS double) AS x1", "cast(o_orderkey % 5000 + 12 AS double) AS y1"),
+    "v_page": ("orders", "o_custkey % 400 AS doc_id", "o_orderkey AS ord", "CASE o_orderkey % 5 WHEN 0 THEN 'OWNER:' WHEN 1 THEN concat('Harbor ', o_custkey, ' Holdings LLC') WHEN 2 THEN 'DRAWN BY' ELSE concat('General text ', o_orderkey) END AS text", "cast(o_custkey % 3 * 30 AS double) AS x0", "cast(o_orderkey % 5000 AS double) AS y0", "cast(o_custkey % 3 * 30 + 90 AS double) AS x1", "cast(o_orderkey % 5000 + 12 AS double) AS y1"),
     "v_spec": ("orders", "o_custkey % 25 AS doc_id", "o_orderkey % 40 AS page", "o_orderkey AS line", "CASE o_orderkey % 9 WHEN 0 THEN concat('SECTION ', CASE o_custkey % 3 WHEN 0 THEN '00 11 13' WHEN 1 THEN '32 13 13' ELSE '096500' END, ' - TITLE') WHEN 4 THEN 'PART 2 - PRODUCTS' WHEN 6 THEN 'PART 3 EXECUTION' ELSE concat('text ', o_orderkey) END AS text"),
     "v_box": ("lineitem", "(l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey * 7 + l_suppkey AS id", "l_orderkey % 50 AS doc_id", "l_linenumber AS page", "cast(l_quantity AS double) AS x0", "cast(l_linenumber * 20 AS double) AS y0", "cast(l_quantity + 8 AS double) AS x1", "cast(l_linenumber * 20 + l_quantity / 4 AS double) AS y1", "CASE l_suppkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'street_address' WHEN 2 THEN 'denylist' ELSE 'person name' END AS category"),
 }
