@@ -42,16 +42,17 @@ def label_violations(labels: DataFrame) -> DataFrame:
     """(doc_id, message): the first rule that each export breaks, in the rules' order; no row for a valid one."""
     item = F.explode_outer("items")
     rows = labels.select("doc_id", "page_count", item.alias("i"))
+    says = lambda k, message: F.struct(F.lit(k).alias("k"), message.alias("message"))
     broken = (
-        F.when(F.col("doc_id").isNull() | (F.col("doc_id") == ""), F.struct(F.lit(0).alias("k"), F.lit("doc_id missing").alias("message")))
+        F.when(F.col("doc_id").isNull() | (F.col("doc_id") == ""), says(0, F.lit("doc_id missing")))
         .when(F.col("i").isNull(), F.lit(None))
-        .when(F.col("i.id").isNull(), F.struct(F.lit(1), F.lit("item without id")))
-        .when(~F.coalesce(F.col("i.page").between(0, F.col("page_count") - 1), F.lit(False)), F.struct(F.lit(2), F.concat(F.lit("page out of range: "), F.col("i.id"))))
-        .when(F.coalesce(F.size("i.bbox") != 4, F.lit(True)) | (F.col("i.bbox")[0] >= F.col("i.bbox")[2]) | (F.col("i.bbox")[1] >= F.col("i.bbox")[3]), F.struct(F.lit(3), F.concat(F.lit("bad bbox: "), F.col("i.id"))))
-        .when(~F.coalesce(F.col("i.scale") > 0, F.lit(False)), F.struct(F.lit(4), F.concat(F.lit("bad scale: "), F.col("i.id"))))
-        .when(~F.coalesce(F.col("i.category").isin(*LABEL_KINDS), F.lit(False)), F.struct(F.lit(5), F.concat(F.lit("unknown category: "), F.col("i.id"))))
-        .when(~F.coalesce(F.col("i.sensitivity").isin("sensitive", "not_sensitive"), F.lit(False)), F.struct(F.lit(6), F.concat(F.lit("unknown sensitivity: "), F.col("i.id"))))
-        .when(~F.coalesce(F.col("i.disposition").isin(*DISPOSITIONS), F.lit(False)), F.struct(F.lit(7), F.concat(F.lit("unknown disposition: "), F.col("i.id"))))
+        .when(F.col("i.id").isNull(), says(1, F.lit("item without id")))
+        .when(~F.coalesce(F.col("i.page").between(0, F.col("page_count") - 1), F.lit(False)), says(2, F.concat(F.lit("page out of range: "), F.col("i.id"))))
+        .when(F.coalesce(F.size("i.bbox") != 4, F.lit(True)) | (F.col("i.bbox")[0] >= F.col("i.bbox")[2]) | (F.col("i.bbox")[1] >= F.col("i.bbox")[3]), says(3, F.concat(F.lit("bad bbox: "), F.col("i.id"))))
+        .when(~F.coalesce(F.col("i.scale") > 0, F.lit(False)), says(4, F.concat(F.lit("bad scale: "), F.col("i.id"))))
+        .when(~F.coalesce(F.col("i.category").isin(*LABEL_KINDS), F.lit(False)), says(5, F.concat(F.lit("unknown category: "), F.col("i.id"))))
+        .when(~F.coalesce(F.col("i.sensitivity").isin("sensitive", "not_sensitive"), F.lit(False)), says(6, F.concat(F.lit("unknown sensitivity: "), F.col("i.id"))))
+        .when(~F.coalesce(F.col("i.disposition").isin(*DISPOSITIONS), F.lit(False)), says(7, F.concat(F.lit("unknown disposition: "), F.col("i.id"))))
     )
     return rows.select("doc_id", broken.alias("b")).where("b is not null").groupBy("doc_id").agg(F.min("b").alias("b")).select("doc_id", "b.message")
 
