@@ -95,6 +95,18 @@ def test_quality_on_held_out_rows(spark):
     assert {r.score for r in quality.score_documents(spark, docs, known.limit(0)).collect()} == {0.5}
 
 
+def test_capped_sample_keeps_the_balance_of_all_labels(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(text_of(rng, "en", 12) for _ in range(3)), int(i % 8 > 0)) for i in range(1600)]  # texts say nothing of the label
+    rows[3:6] = [(3, "long " * 2000, 1), (4, None, 1), (5, "", 1)]
+    docs, known = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, q) for i, _, q in rows] + [(i, 0) for i in range(5000, 5400)], "doc_id long, quality int")
+    whole, capped = quality.fit(spark, docs, known), quality.fit(spark, docs, known, documents=150)
+    assert whole.prior == capped.prior == 0.875
+    texts = [t for _, t, _ in rows if t]
+    assert abs(whole.score(texts).mean() - 0.875) < 0.01 and abs(capped.score(texts).mean() - 0.875) < 0.05
+    assert capped.score(["", None, " \n"]).tolist() == [0.875] * 3
+
+
 @pytest.mark.parametrize("rule", ["first", "last", "most", "split"])
 def test_tokens_against_a_character_walk(rule):
     encoder, rng = tokens.Encoder.of(tokens.VOCABULARY), random.Random(6)

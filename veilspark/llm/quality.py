@@ -104,10 +104,11 @@ def with_neighbours(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after, np.ones((len(x), 1))], axis=1)
 
 
-def marginals(unary: np.ndarray, owner: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(unary: np.ndarray, owner: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of each line, and the expected counts of the four transitions, by forward-backward over all chains in step.
 
     ``unary`` is the log-odds of good for a line; ``trans[i, j]`` the weight of a step from i to j (0 bad, 1 good).
+    ``weight`` says how often each line's steps count (once without it).
     """
     n = len(unary)
     if not n:
@@ -134,7 +135,10 @@ def marginals(unary: np.ndarray, owner: np.ndarray, trans: np.ndarray) -> tuple[
     p = both[:, 1] / both.sum(axis=1)
     inner = np.flatnonzero(np.r_[owner[1:] == owner[:-1], False])
     pair = forward[inner][:, :, None] * move[None] * (psi[inner + 1] * backward[inner + 1])[:, None, :]
-    return p, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(inner) else np.zeros((2, 2))
+    if not len(inner):
+        return p, np.zeros((2, 2))
+    pair = pair / pair.sum(axis=(1, 2), keepdims=True)
+    return p, (pair if weight is None else pair * weight[inner][:, None, None]).sum(axis=0)
 
 
 class LineField:
@@ -144,44 +148,52 @@ class LineField:
         self.w, self.trans = np.zeros(3 * N_FEATURES + 1), np.zeros((2, 2))
         self.curve, self.prior = np.zeros(2), 0.5
 
-    def _fit_field(self, x, owner, y, rounds: int = 60, rate: float = 0.3, l2: float = 1e-4) -> None:
-        """Gradient ascent (Adam) on the mean log-likelihood of the lines' labels."""
+    def _fit_field(self, x, owner, y, weight, rounds: int = 60, rate: float = 0.3, l2: float = 1e-4) -> None:
+        """Gradient ascent (Adam) on the weighted mean log-likelihood of the lines' labels."""
         inner = np.flatnonzero(np.r_[owner[1:] == owner[:-1], False])
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[inner], y[inner + 1]), 1)
+        np.add.at(seen, (y[inner], y[inner + 1]), weight[inner])
         theta = np.r_[self.w, self.trans.ravel()]
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, rounds + 1):
             self.w, self.trans = theta[:-4], theta[-4:].reshape(2, 2)
-            p, expected = marginals(x @ self.w, owner, self.trans)
-            g = np.r_[x.T @ (y - p), (seen - expected).ravel()] / len(y) - l2 * theta
+            p, expected = marginals(x @ self.w, owner, self.trans, weight)
+            g = np.r_[x.T @ (weight * (y - p)), (seen - expected).ravel()] / weight.sum() - l2 * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.w, self.trans = theta[:-4], theta[-4:].reshape(2, 2)
 
-    def fit(self, texts: list[str], quality: list[int]) -> LineField:
-        """Fit on labelled documents; without both labels every score is the share of good ones (0.5 without any)."""
+    def fit(self, texts: list[str], quality: list[int], counts: tuple[int, int] | None = None) -> LineField:
+        """Fit on labelled documents; without both labels every score is the share of good ones (0.5 without any).
+
+        ``counts`` are the bad and good documents that the given ones stand for, where these are a sample: each then
+        weighs as many as it stands for, so scores and the share of good ones don't depend on the sample's balance.
+        """
         quality = np.array(quality, dtype=np.int64)
-        if len(quality):
-            self.prior = float(quality.mean())
-        if not 0 < self.prior < 1 or not len(quality):
+        held = np.bincount(quality, minlength=2)
+        counts = np.array(held if counts is None else counts, dtype=np.float64)
+        if counts.sum():
+            self.prior = float(counts[1] / counts.sum())
+        if not held.all() or not counts.all():
             return self
+        weight = (counts / held)[quality]
+        weight /= weight.mean()
         x, visible, owner = line_features(texts)
         if not len(x):
             return self
-        full, y = with_neighbours(x, owner), quality[owner]
-        self._fit_field(full, owner, y)
+        full, y, line_weight = with_neighbours(x, owner), quality[owner], weight[owner]
+        self._fit_field(full, owner, y, line_weight)
         p, _ = marginals(full @ self.w, owner, self.trans)
         worst = np.full(len(texts), np.inf)
         np.minimum.at(worst, owner, p)
-        self._fit_field(full, owner, np.where((y == 0) & (p > 0.5) & (worst[owner] < 0.5), 1, y))
+        self._fit_field(full, owner, np.where((y == 0) & (p > 0.5) & (worst[owner] < 0.5), 1, y), line_weight)
         evidence, known = self._evidence(full, visible, owner, len(texts))
-        e, q = evidence[known], quality[known]
+        e, q, u = evidence[known], quality[known], weight[known]
         a = b = 0.0
         for _ in range(300):  # Newton steps with a small ridge
             z = 1 / (1 + np.exp(-np.clip(a * e + b, -30, 30)))
-            s = z * (1 - z) + 1e-9
-            g = np.array([((q - z) * e).sum() - 0.01 * a, (q - z).sum() - 0.01 * b])
+            s = u * (z * (1 - z) + 1e-9)
+            g = np.array([(u * (q - z) * e).sum() - 0.01 * a, (u * (q - z)).sum() - 0.01 * b])
             h = np.array([[(s * e * e).sum() + 0.01, (s * e).sum()], [(s * e).sum(), s.sum() + 0.01]])
             step = np.linalg.solve(h, g)
             a, b = a + step[0], b + step[1]
@@ -210,14 +222,16 @@ class LineField:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, documents: int = 800, longest: int = 8_000) -> LineField:
     """Fit on ``documents`` labelled texts of each quality (0, 1) at most, chosen by hash, of up to ``longest`` characters.
 
-    The bounds keep the sample small on the driver whatever the table; ``labels(doc_id, quality)`` with other or null
-    values, or with both values for one document, are left out.
+    The bounds keep the sample small on the driver whatever the table; each sampled text weighs as many of all labelled
+    documents in ``docs`` (of any length) as it stands for.  ``labels(doc_id, quality)`` with other or null values, or
+    with both values for one document, are left out.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).select("doc_id", "quality") for q in (0, 1)]
     sample = spark.createDataFrame(chosen[0].union(chosen[1]).toArrow())
     rows = docs.where(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").distinct().orderBy("doc_id", "text").limit(4 * documents).collect()
-    return LineField().fit([r.text for r in rows], [r.quality for r in rows])
+    counts = {r.quality: r["count"] for r in known.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("quality").count().collect()}
+    return LineField().fit([r.text for r in rows], [r.quality for r in rows], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def _fold(column: str, folds: int):
@@ -232,7 +246,7 @@ def learned_field(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.7, folds: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row for each row of ``docs``.
 
-    Null, empty and blank texts have no line and score the share of good documents in the sample.  A row with a null doc_id
+    Null, empty and blank texts have no line and score the share of good documents among all labelled, not held out ones.  A row with a null doc_id
     is scored, and neither held out nor learned from; an empty table gives an empty result.
     """
     bounded_batches(spark)
