@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.core.broadcast import Broadcast
 
 from veilspark.llm import decontaminate, language, licenses, quality, tokens
 
@@ -177,6 +178,23 @@ def test_decontamination_finds_every_passage_within_the_budget(spark):
     assert decontaminate.find_leaks(spark, d, b.limit(0)).count() == 0 and decontaminate.find_leaks(spark, d.limit(0), b).count() == 0
 
 
+def test_decontamination_searches_every_block_in_reused_workers(spark, monkeypatch):
+    rng, whole, cast, sent = random.Random(12), decontaminate.item_blocks, spark.sparkContext.broadcast, []
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda benchmark: whole(benchmark, characters=50))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(cast(value)) or sent[-1])
+    items = [(k, f"{k} " + text_of(rng, "en", 14)) for k in range(20)]
+    texts = {k: f"{text_of(rng, 'fr', 5)} {t}" for k, t in items}
+    d, b = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    leaks = decontaminate.find_leaks(spark, d, b, 0.0)
+    assert len(sent) == len(items)
+    found = set()
+    for held in sent:  # one worker: each block is loaded after the last one is freed, often to the same address
+        matcher = decontaminate._matcher(Broadcast(path=held._path), 0.0)
+        found |= {(k, hit[0]) for k, t in texts.items() for hit in matcher.search(decontaminate.normal(t))}
+    assert found == {(k, k) for k, _ in items} == {(r.doc_id, r.item_id) for r in leaks.collect()}
+    assert decontaminate._matcher(sent[0], 0.05).items[0][2] == int(0.05 * len(decontaminate.normal(items[0][1]))) > 0 == decontaminate._matcher(sent[0], 0.0).items[0][2]
+
+
 def test_licences_and_inheritance(spark):
     rows = [(1, "a/b/x.txt", "code\nReleased under the MIT License.\nmore words here to fill the file with code and code"), (2, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/b/c/y.txt", "nothing"), (4, "z/q.txt", "nothing"), (5, None, None), (6, "a/w.txt", ""), (7, "a/b/v.txt", "All rights reserved."), (8, "a/b/d/u.txt", "my licence to kill words that match nothing at all here")]
     out = {r.doc_id: r for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}

@@ -12,6 +12,7 @@ Items are handled in blocks of bounded size, each broadcast on its own; document
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
@@ -118,16 +119,21 @@ def item_blocks(benchmark: DataFrame, characters: int = 2_000_000) -> Iterator[l
         yield block
 
 
-_built: dict[int, Matcher] = {}
+_built: dict[tuple[str, float], Matcher] = {}
+
+
+def _share(spark: SparkSession, block: list[tuple[int, str]]):
+    """The block, broadcast under a name of its own: addresses and counters can come again in a reused worker."""
+    return spark.sparkContext.broadcast((uuid4().hex, block))
 
 
 def _matcher(shared, rate: float) -> Matcher:
-    """One automaton for each block and worker process."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
-    if key not in _built:
+    """One automaton for each block, rate and worker process."""
+    name, block = shared.value
+    if (name, rate) not in _built:
         _built.clear()
-        _built[key] = Matcher(shared.value, rate)
-    return _built[key]
+        _built[name, rate] = Matcher(block, rate)
+    return _built[name, rate]
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
@@ -141,7 +147,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     out = spark.createDataFrame([], "doc_id long, item_id long, distance int, budget int, ends_at long")
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared = _share(spark, block)
 
         def work(batches, shared=shared):
             matcher = _matcher(shared, rate)
@@ -158,7 +164,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate:
     bounded_batches(spark)
     at = docs.columns.index("text")
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared = _share(spark, block)
 
         def work(batches, shared=shared):
             matcher = _matcher(shared, rate)
