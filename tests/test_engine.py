@@ -1,4 +1,7 @@
+import random
 import re
+from collections import Counter
+from statistics import fmean
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from veilspark import policy, policy_values as V
 from veilspark.functions import text as T
 from veilspark.operators import evaluate, labels, layout, ner, propose, report, scan, suppress, triage, zones
 from veilspark.operators.redact import redact
+from veilspark.plans import queries
 from veilspark.plans.engine import Engine
 from veilspark.policy import Policy
 from veilspark.verify import independent
@@ -123,6 +127,31 @@ def test_rows_and_model_adapter(spark):
     assert found == [(4, 8, "Acme"), (1220, 1224, "Acme")]
 
 
+def test_row_clusters_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [(d, p, f"w{d}_{p}_{i}", rng.uniform(0, 900), rng.uniform(0, 300), rng.uniform(5, 60), rng.choice([8.0, 10.0, 24.0])) for d in range(4) for p in (1, 2) for i in range(rng.choice([1, 40, 150]))]
+    want = set()
+    for key in {w[:2] for w in words}:
+        rows = []
+        for w in sorted((w for w in words if w[:2] == key), key=lambda w: w[4] + w[6] / 2):
+            near = rows and abs(w[4] + w[6] / 2 - fmean(v[4] + v[6] / 2 for v in rows[-1])) <= max(8, 0.6 * w[6])
+            rows[-1:] = [[*rows[-1], w]] if near else [*rows[-1:], [w]]
+        for k, row in enumerate(rows):
+            row.sort(key=lambda w: w[3])
+            cuts = [i for i in range(1, len(row)) if row[i][3] - row[i - 1][3] - row[i - 1][5] > max(100, 4 * max(w[6] for w in row))]
+            want |= {(*key, k, n, " ".join(w[2] for w in row[i:j])) for n, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(row)], strict=True))}
+    df = spark.createDataFrame(words, "doc_id long, page int, text string, x double, y double, w double, h double")
+    got = [tuple(r) for r in layout.cluster_rows(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+
+
+def test_every_word_of_the_table_is_clustered(spark):
+    sf = "/root/testdata/sf0.001"
+    out = queries.QUERIES["ocr_row_cluster"](spark, sf).collect()
+    ids = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("(l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey * 7 + l_suppkey AS id").collect()
+    assert Counter(t for r in out for t in r.text.split()) == Counter(str(r.id) for r in ids)
+
+
 def test_evaluation_and_review(spark):
     golden = spark.createDataFrame([("Bay Holdings", "party"), ("Hatco", "manufacturer"), ("3 CIR", "structural"), ("Some Firm Name", "hard_negative")], "term string, verdict string")
     m = evaluate.metrics(evaluate.outcomes(evaluate.classify(golden, Policy(terms=("Bay Holdings",))))).first()

@@ -56,11 +56,14 @@ def cluster_rows(words: DataFrame) -> DataFrame:
 
         pdf = pdf.assign(cy=pdf.y + pdf.h / 2).sort_values(["cy", "x"], kind="stable")
         rows: list[list] = []
+        total = 0.0  # of the open row's centres
         for w in pdf.itertuples():
-            if rows and abs(w.cy - sum(v.cy for v in rows[-1]) / len(rows[-1])) <= max(8.0, 0.6 * w.h):
+            if rows and abs(w.cy - total / len(rows[-1])) <= max(8.0, 0.6 * w.h):
                 rows[-1].append(w)
+                total += w.cy
             else:
                 rows.append([w])
+                total = w.cy
         out = []
         for k, row in enumerate(rows):
             segment, held = 0, []

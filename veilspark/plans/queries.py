@@ -226,7 +226,7 @@ add(
     lambda spark, d: layout.page_kind(view(spark, d, "v_box").select("id", (F.col("id") % 60).alias("chars"), (F.col("x0") / 1000).alias("ratio"))).groupBy("page_kind", "needs_raster").agg(F.count("*").alias("n")),
     with_views("v_box") + "SELECT CASE WHEN id % 60 >= 20 AND x0 / 1000 >= 0.02 THEN 'mixed' WHEN id % 60 >= 20 THEN 'searchable' ELSE 'raster' END AS page_kind, (id % 60 < 20 OR x0 / 1000 >= 0.02) AS needs_raster, count(*) AS n FROM v_box GROUP BY 1, 2",
 )
-add("ocr_row_cluster", lambda spark, d: layout.cluster_rows(view(spark, d, "v_box").where("doc_id < 10").select("doc_id", "page", F.col("id").cast("string").alias("text"), (F.col("x0") * 10).alias("x"), F.col("y0").alias("y"), F.lit(30.0).alias("w"), F.lit(10.0).alias("h"))))
+add("ocr_row_cluster", lambda spark, d: layout.cluster_rows(view(spark, d, "v_word")))
 add(
     "zone_carry",
     lambda spark, d: zones.page_zones(view(spark, d, "v_spec")),
