@@ -50,6 +50,17 @@ def test_best_paths_of_a_tree(spark):
     assert not any(k[0] == "c" for k in got)
 
 
+def test_all_paths_of_a_tree_are_formatted(spark):
+    nodes = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 2.0), ("t", 3, 1, "assistant", "b", 1.0), ("t", 4, 3, "user", "c", 0.5), ("t", 5, 3, "user", "d", 0.0), ("u", 1, None, "user", "x", None)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
+    for branches in (0, None):
+        paths = chat.reply_paths(spark, df, branches)
+        turns = paths.join(df.select("tree", "node", "role", "text"), ["tree", "node"]).withColumnRenamed("depth", "ord")
+        out = {(r.tree, r["rank"], r.leaf): [(t.role, t.text) for t in r.turns] for r in chat.parse_turns(chat.format_turns(turns, ["tree", "rank", "leaf"])).collect()}
+        start = ("user", "q"), ("assistant", "b")
+        assert out == {("t", 1, 2): [start[0], ("assistant", "a")], ("t", 2, 4): [*start, ("user", "c")], ("t", 3, 5): [*start, ("user", "d")], ("u", 1, 1): [("user", "x")]}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(spark, df).count() == 0

@@ -3,7 +3,7 @@
 Messages are nodes with a parent.  Root-to-leaf paths are found by self-joins that double the known distance each
 time (a step joins the table of ancestors at distance d with itself), so a path of n turns takes log2(n) joins.  Along
 the way each node gets its depth and the sum of scores on its path.  Leaves are ranked by that sum within
-their tree, the best ``branches`` are kept, and the same tables, used from the longest distance down, list the nodes of each kept
+their tree, the best ``branches`` (or all) are kept, and the same tables, used from the longest distance down, list the nodes of each kept
 path.  Each path becomes one conversation.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` a turn.  Inside roles and texts a backslash becomes two and ``<|`` becomes
@@ -33,10 +33,10 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def reply_paths(spark: SparkSession, messages: DataFrame, branches: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def reply_paths(spark: SparkSession, messages: DataFrame, branches: int | None = 1, scratch: Scratch | None = None) -> DataFrame:
     """``messages(tree, node, parent, score)`` to ``(tree, leaf, rank, node, depth)`` of the kept paths.
 
-    (tree, node) must be unique.  A parent that isn't in its tree counts as none; nodes on a cycle are on no path.  Null scores
+    ``branches`` paths of each tree are kept, or all of them if it is 0 or None.  (tree, node) must be unique.  A parent that isn't in its tree counts as none; nodes on a cycle are on no path.  Null scores
     count 0; equal sums rank by leaf.
     """
     scratch = scratch or Scratch(spark)
@@ -57,9 +57,9 @@ def reply_paths(spark: SparkSession, messages: DataFrame, branches: int = 1, scr
         state = scratch.save(state.where("up is null").union(moved), "state")
     parents = nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = state.where("up is null").join(parents, ["tree", "node"], "left_anti")
+    leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("sum"), "node")))
     if branches:
-        best = Window.partitionBy("tree").orderBy(F.desc("sum"), "node")
-        leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
+        leaves = leaves.where(F.col("rank") <= branches)
     paths = scratch.save(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node"), "paths")
     for jump in reversed(jumps):
         further = paths.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"))
