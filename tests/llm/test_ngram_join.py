@@ -1,7 +1,8 @@
 import random
 import re
+from collections import Counter
 
-from veilspark.llm.ngram_join import NgramJoin, prefix_size
+from veilspark.llm.ngram_join import NgramJoin, keep_first, prefix_size
 
 
 def brute(rows, width=5):
@@ -65,7 +66,77 @@ def test_driver_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_lists_over_many_small_batches(spark):
+    # runs that cross batch borders, repeated rows on both sides of a border
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.randrange(6), 5, rng.choice((0, 0, 1))) for _ in range(3000)]
+    rows = [(t, k, n, 0 if t % 3 else s) for t, k, n, s in rows] + [(1000 + t, 1, 5, 0) for t in range(50)]
+    once = set(rows)
+    length = Counter((t, s) for t, _, _, s in once)
+    want = sorted((t, k, n) for t, k, n, s in once if s or length[t, s] > 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "2", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = NgramJoin(spark)._lists(spark.createDataFrame(rows, "token long, key long, n int, salt int")).collect()
+            assert sorted(tuple(r) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_tiles_over_small_batches_and_many_partitions(spark):
+    rng = random.Random(8)
+    texts = near_copies(rng, 60, edits=5) + near_copies(rng, 50, 40, 6)
+    texts += [" ".join(f"p{i}" for i in range(14)) + f" x{rng.randrange(10**6)} y{rng.randrange(10**6)}" for _ in range(60)]
+    rows = list(enumerate(texts))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        assert run(spark, rows, least_frequent=5, tile=16, crowd=4) == brute(rows)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_orders_are_intersected_before_sets_are_compared(spark):
+    # sizes fit and the first order lets the pairs pass, but few shingles are shared
+    rng = random.Random(2)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, shared + " " + " ".join(f"u{rng.randrange(10**7)}" for _ in range(60))) for i in range(12)]
+    rows += [(100 + i, t) for i, t in enumerate(near_copies(rng, 4, 80, 1))]
+    join = NgramJoin(spark)
+    join._repeats = False
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    measured = join._measure(docs).where("kind = 0").select("id", "key").collect()
+    key = {r.id: r.key for r in measured}
+    classes = spark.createDataFrame([(k, d) for d, k in key.items()], "key long, rep long")
+    known = join._sets(classes.select("key"), docs, classes)
+    pairs = spark.createDataFrame([(key[a], key[b]) for a in key for b in key if a < b and (a < 100) == (b < 100)], "a long, b long")
+    left = {tuple(r) for r in join._filtered(pairs, known).collect()}
+    assert not any((key[a], key[b]) in left for a in range(12) for b in range(12))
+    assert {tuple(r) for r in join._compare(pairs, known).collect()} <= left
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert run(spark, []) == []
     rows = [(3, "x y z"), (3, "x y z"), (1, "q"), (1, None)]
     assert run(spark, rows) == [(1, 0, 1), (1, 1, 1), (3, 1, 3), (3, 1, 3)]
+
+
+def test_null_ids_and_further_columns(spark):
+    rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (None, "a b c d e f g"), (7, "A b c d e f g"), (8, None)]
+    docs = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, key int, component_id string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in NgramJoin(spark).result(docs).collect())
+    assert got == [(0, 3, None), (0, 3, None), (3, 3, 3), (7, 3, 3), (8, 0, 8)]
+    kept = keep_first(spark, docs.union(docs.where("doc_id = 3")))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 3, 8]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, "x" * 2_000_000), (4, " ".join(words[:100_000]))]
+    got = run(spark, rows)
+    assert [(d, c) for d, _, c in got] == [(1, 1), (2, 1), (3, 3), (4, 4)]

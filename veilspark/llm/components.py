@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps over an edge table.
 
-Every step is a join with a per-node minimum, so a node with very many neighbours is never
-gathered in one place, and each step's edges are a written table.  The steps end when the edges
+Every step is a join with a per-node minimum, which is combined before the shuffle.  A node with very many neighbours is one
+join key: its edges are streamed against one row, and adaptive execution splits them over tasks; no task holds them
+together.  Each step's edges are a written table.  The steps end when the edges
 no longer change; then every node points at the smallest node of its component.
 """
 

@@ -3,20 +3,22 @@
 Documents with equal shingle sets are one *class*.  A class's prefix under a global order of
 shingles holds its first ``n - ceil(t n) + 1`` shingles; classes that link share one under every
 order.  With ``s`` shared prefix shingles the overlap is at most ``s + max(n_x - p_x, n_y - p_y)``,
-which each order also checks; a pair is verified on whole sets only when every order lets it pass.
+which each order checks.  Candidates of the first order meet only the *signatures* of the others (their prefixes,
+32 bits a shingle): pairs that any order rules out are dropped there, and whole sets move for the pairs
+that are left.  Equal low bits of different shingles can only let a pair through.
 
 The first order generates candidates.  It puts frequent shingles last, so that a passage that many
 documents share isn't in their prefixes.  Which shingles are frequent is an unbiased estimate over all
 documents of which the ``most_frequent`` largest are kept: it decides the order, and so the cost, never
-the result.  The further orders are different hash orders.
+the result.  The further orders are different hash orders.  Lists of frequent shingles are split over tasks by a salt; the list
+of any other shingle is at most ``1 / most_frequent`` of all estimated shingles, and is read as a stream.
 
 Groups of thousands of near copies share long posting lists.  From each list of ``crowd`` classes or
 more, first only pairs with a centre of the list are verified, in ``rounds`` rounds with other centres for those not
 yet linked; centres are classes that are on many such lists, as the text behind a group of copies is.  Then all
 pairs of all lists whose classes aren't yet connected are candidates.  A class is left out of a list if all the lists
 that it is on are fewer than the shared shingles it would need with any size on that list.  So no link between
-different components is lost, and a group's pairs aren't all spelled out.  Lists of frequent shingles are split
-over tasks by a salt.
+different components is lost, and a group's pairs aren't all spelled out.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ class NgramJoin:
     broadcast table of frequent shingles; least_frequent: documents that make a shingle frequent;
     crowd: list length from which centres are tried first, in so many rounds; tile: main members of a family
     of lists in one task;
-    orders: global orders in all.
+    orders: global orders in all, at least 2.
     """
 
     def __init__(self, spark: SparkSession, width: int = 5, t_num: int = 75, t_den: int = 100, most_frequent: int = 1 << 18, least_frequent: int = 64, crowd: int = 16, rounds: int = 2, tile: int = 128, orders: int = 3):
@@ -161,28 +163,34 @@ class NgramJoin:
         return docs.mapInArrow(work, "token long, key long, n int, salt int")
 
     def _lists(self, postings: DataFrame) -> DataFrame:
-        """(token, key, n, m): posting lists of two classes or more (m; all parts of a salted list)."""
-        schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("m", pa.int32())])
+        """(token, key, n) of posting lists of two classes or more, and of every part of a salted list, once each.
+
+        A row needs only its neighbours in order, so a task holds a batch and never a list.
+        """
+        schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
         def work(batches):
-            got = [(_column(b, "token"), _column(b, "key"), _column(b, "n"), _column(b, "salt")) for b in batches if b.num_rows]
-            if not got:
-                return
-            token, key, n, salt = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
-            at = np.lexsort((key, salt, token))
-            token, key, n, salt = token[at], key[at], n[at], salt[at]
-            new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
-            token, key, n, salt = token[new], key[new], n[new], salt[new]
-            starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
-            runs = np.diff(np.r_[starts, len(token)])
-            keep = np.repeat((runs > 1) | (salt[starts] > 0), runs)
-            token, key, n, m = token[keep], key[keep], n[keep], np.repeat(runs, runs)[keep].astype(np.int32)
-            for i in range(0, len(token), 1 << 18):
-                part = slice(i, i + (1 << 18))
-                yield pa.record_batch([pa.array(token[part]), pa.array(key[part]), pa.array(n[part]), pa.array(m[part])], schema=schema)
-
-        return postings.repartition("token", "salt").mapInArrow(work, "token long, key long, n int, m int")
+            last, open_row, alone = None, None, False  # the row before this batch, not sent yet while it is alone
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                token, key, n, salt = (_column(batch, c) for c in ("token", "key", "n", "salt"))
+                same_list = np.r_[last is not None and token[0] == last[0] and salt[0] == last[2], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])]
+                again = same_list & np.r_[last is not None and key[0] == last[1], key[1:] == key[:-1]]
+                fresh = np.flatnonzero(~again)
+                if len(fresh):
+                    if alone and same_list[fresh[0]]:
+                        yield pa.record_batch([pa.array([v], t) for v, t in zip(open_row, (pa.int64(), pa.int64(), pa.int32()), strict=True)], schema=schema)
+                    joins = same_list[fresh]
+                    followed = np.r_[joins[1:], False]
+                    send = joins | followed | (salt[fresh] > 0)
+                    if send.any():
+                        at = fresh[send]
+                        yield pa.record_batch([pa.array(token[at]), pa.array(key[at]), pa.array(n[at])], schema=schema)
+                    open_row, alone = (int(token[fresh[-1]]), int(key[fresh[-1]]), int(n[fresh[-1]])), not send[-1]
+                last = (token[-1], key[-1], salt[-1])
+
+        return postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(work, "token long, key long, n int")
 
     def _stars(self, crowd: DataFrame, turn: int) -> DataFrame:
         """(a, b): pairs of a list's centre and its members that aren't linked yet."""
@@ -241,15 +249,32 @@ class NgramJoin:
             swap = a > b
             return pa.record_batch([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, nb, na).astype(np.int32)), pa.array(np.where(swap, na, nb).astype(np.int32)), pa.array(shared.astype(np.int32))], schema=schema)
 
+        names_in = ("token", "key", "n", "component", "on", "big", "family", "part", "i", "j")
+
+        def tiles(batches):
+            """Runs of whole tiles, in order; a task holds a batch and one open tile."""
+            held: list[list[np.ndarray]] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                now = [_column(batch, c) for c in names_in]
+                of = [now[c] for c in (5, 6, 8, 9)]
+                first = bool(held) and any(x[0] != held[-1][c][-1] for x, c in zip(of, (5, 6, 8, 9), strict=True))
+                starts = np.flatnonzero(np.r_[first, np.logical_or.reduce([x[1:] != x[:-1] for x in of])])
+                if len(starts):
+                    held.append([x[: starts[-1]] for x in now])
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held, now = [], [x[starts[-1] :] for x in now]
+                held.append(now)
+            if held:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
         def work(batches):
-            got = [[_column(b, c) for c in ("token", "key", "n", "component", "on", "big", "family", "part", "i", "j")] for b in batches if b.num_rows]
-            if not got:
-                return
-            token, key, n, component, on, big, family, part, i, j = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
+            for columns in tiles(batches):
+                yield from met(*columns)
+
+        def met(token, key, n, component, on, big, family, part, i, j):
             n, on = n.astype(np.int64), on.astype(np.int64)
-            at = np.lexsort((n, token, j, i, family, big))
-            token, key, n, component, on, big, family, part, i, j = (x[at] for x in (token, key, n, component, on, big, family, part, i, j))
             tile = np.r_[True, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (big[1:] != big[:-1])]
             starts = np.flatnonzero(tile | np.r_[True, token[1:] != token[:-1]])
             stops = np.r_[starts[1:], len(token)]
@@ -288,7 +313,7 @@ class NgramJoin:
                     x, y = x[pick], y[pick]
                     yield emit(names[x], names[y], size[x], size[y], counts[0][pick])
 
-        made = short.union(crowded).repartition("big", "family", "i", "j").mapInArrow(work, "a long, b long, na int, nb int, shared int")
+        made = short.union(crowded).repartition("big", "family", "i", "j").sortWithinPartitions("big", "family", "i", "j", "token", "n").mapInArrow(work, "a long, b long, na int, nb int, shared int")
         pairs = made.groupBy("a", "b").agg(F.max("na").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"), F.sum("shared").alias("shared"))
         n, m = F.col("na"), F.col("nb")
         rest = F.greatest(F.ceil(t_num * n / t_den), F.ceil(t_num * m / t_den)) - 1
@@ -297,11 +322,14 @@ class NgramJoin:
     # -- verification -----------------------------------------------------------------------
 
     def _sets(self, ends: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(key, tokens): the whole sets of the classes in ``ends(key)``."""
-        width = self.width
+        """(key, n, signature, tokens) of the classes in ``ends(key)``, and of some that a full Bloom filter lets through.
+
+        signature: the prefixes under the further orders; readers of it don't read the tokens.
+        """
+        width, orders, t_num, t_den = self.width, self.orders, self.t_num, self.t_den
         wanted = classes.join(ends, "key", "left_semi").select("rep", "key")
         bloom = self.spark.sparkContext.broadcast(bloom_of(wanted, "rep"))
-        schema = pa.schema([("key", pa.int64()), ("tokens", pa.binary())])
+        schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("signature", pa.binary()), ("tokens", pa.binary())])
 
         def sets(batches):
             seen: set[int] = set()
@@ -309,54 +337,68 @@ class NgramJoin:
                 hit = np.flatnonzero(in_bloom(bloom.value, _column(batch, "doc_id")))
                 if not len(hit):
                     continue
-                keys, held = [], []
+                keys, sizes, marks, held = [], [], [], []
                 for tokens in shingle_sets(batch.column(1).take(pa.array(hit)).to_pylist(), width):
-                    if len(tokens) and (key := set_key(tokens)) not in seen:
+                    n = len(tokens)
+                    if n and (key := set_key(tokens)) not in seen:
                         seen.add(key)
+                        p = prefix_size(n, t_num, t_den)
                         keys.append(key)
+                        sizes.append(n)
+                        marks.append(b"".join(np.sort(np.partition(mix(tokens, 601 + order), p - 1)[:p].astype(np.uint32)).tobytes() for order in range(1, orders)))
                         held.append(tokens.tobytes())
                 if keys:
-                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], schema=schema)
+                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.array(held, pa.binary())], schema=schema)
 
-        known = docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "key long, tokens binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
+        known = docs.mapInArrow(sets, "key long, n int, signature binary, tokens binary")
+        if self._repeats:  # the same row again and again: one of them
+            known = known.dropDuplicates(["key"])
         return self.scratch.save(known, "sets")
 
-    def _compare(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """The pairs (a, b) of class keys that link; the further orders' filters come before whole sets are compared."""
+    def _filtered(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs (a, b) that share enough prefix shingles under every further order."""
         t_num, t_den, orders = self.t_num, self.t_den, self.orders
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def work(batches):
+            for batch in batches:
+                n, m = (_column(batch, c).astype(np.int64) for c in ("n", "m"))
+                p, q = prefix_size(n, t_num, t_den), prefix_size(m, t_num, t_den)
+                least = np.maximum(1, _needed(n, m, t_num, t_den) - np.maximum(n - p, m - q))
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for r, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint32).reshape(orders - 1, -1) for v in (x, y))
+                    keep[r] = all(_common(u, v) >= least[r] for u, v in zip(x, y, strict=True))
+                keep = pa.array(keep)
+                yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+        marks = known.select("key", "n", "signature")
+        both = pairs.join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        return self.scratch.save(both.mapInArrow(work, "a long, b long"), "filtered")
+
+    def _compare(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs (a, b) of class keys that link: those that all orders let pass, on whole sets."""
+        t_num, t_den = self.t_num, self.t_den
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def linked(batches):
-            out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                    keep.append(passes(x, y) and joins(x, y))
+                    shared = _common(x, y)
+                    keep.append(t_den * shared >= t_num * (len(x) + len(y) - shared))
                 keep = pa.array(keep, pa.bool_())
-                yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=out)
-
-        def passes(x, y):
-            n, m = len(x), len(y)
-            p, q = prefix_size(n, t_num, t_den), prefix_size(m, t_num, t_den)
-            least = max(1, _needed(n, m, t_num, t_den) - max(n - p, m - q))
-            for order in range(1, orders):
-                u, v = mix(x, 601 + order), mix(y, 601 + order)
-                u, v = np.partition(u, p - 1)[:p], np.partition(v, q - 1)[:q]
-                if _common(u, v) < least:
-                    return False
-            return True
-
-        def joins(x, y):
-            shared = _common(x, y)
-            return t_den * shared >= t_num * (len(x) + len(y) - shared)
-
-        left = pairs.join(known.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
-        both = left.join(known.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+                yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+        left = self._filtered(pairs, known)
+        sets = known.select("key", "tokens")
+        both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return self.scratch.save(both.mapInArrow(linked, "a long, b long"), "links")
 
     def _crowds(self, lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): links of centres of crowded lists."""
-        crowd = lists.where(F.col("m") >= self.crowd).select("token", "key", "n")
+        crowd = lists.join(lists.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= self.crowd), "token", "left_semi")
         crowd = self.scratch.save(crowd.join(crowd.groupBy("key").agg(F.count("*").alias("popular")), "key"), "crowd")
         known = self._sets(crowd.select("key").distinct(), docs, classes)
         found = self._compare(self._stars(crowd.withColumn("linked", F.lit(False)), 0), known)
@@ -364,6 +406,7 @@ class NgramJoin:
             done = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct().withColumn("linked", F.lit(True))
             state = crowd.join(done, "key", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
             found = found.union(self._compare(self._stars(state, turn), known))
+        self.scratch.drop(known, crowd)
         return found
 
     # -- the whole job ------------------------------------------------------------------------
@@ -371,19 +414,25 @@ class NgramJoin:
     def result(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id): one row for each row of ``docs``.
 
-        Null texts, empty texts and texts of white space have no shingles and link with nothing.  A row
-        whose doc_id is null still counts as a text, but names no component; repeated rows are one class.
+        Null texts, empty texts and texts of white space have no shingles and link with nothing, nor do rows whose
+        doc_id is null (their component_id is null).  Repeated rows and rows that repeat a text are one class; a
+        doc_id that stands for several texts is in all their components and each of its rows names its own text's.
+        Columns besides doc_id and text play no part.
         """
         bounded_batches(self.spark)
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         measured = self.scratch.save(self._measure(docs), "measured")
+        docs = docs.where("doc_id is not null and text is not null")
         frequent = self._frequent(measured)
         sized = measured.where("kind = 0").select(F.col("id").alias("doc_id"), "key", "n")
-        classes = self.scratch.save(sized.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+        counted = sized.where("n > 0 and doc_id is not null")
+        self._repeats = not counted.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+        classes = self.scratch.save(counted.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
         lists = self.scratch.save(self._lists(self._postings(docs, frequent)), "lists")
         edges = self._crowds(lists, docs, classes)
         merged = self.scratch.save(connected_components(edges, self.scratch), "merged")
         rest = self.scratch.save(self._unconnected(lists, merged), "pairs")
+        self.scratch.drop(lists)
         ends = rest.select(F.col("a").alias("key")).union(rest.select(F.col("b").alias("key"))).distinct()
         second = self._compare(rest, self._sets(ends, docs, classes))
         edges = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
@@ -392,20 +441,22 @@ class NgramJoin:
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
         names = self.scratch.save(named.join(least, "component").select("key", "component_id"), "names")
         out = sized.join(names.select(F.col("key").alias("class_key"), "component_id"), (F.col("n") > 0) & (F.col("key") == F.col("class_key")), "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) with the smallest doc_id of each component; one of rows that repeat an id and a text.
 
-    Rows with a null doc_id stay, unless they repeat a text.  An id that stands for different texts goes if one of them does.
+    Rows with a null doc_id link with nothing and all stay, as do rows without words.  An id that stands for different texts
+    goes if one of them does.  Further columns are carried; an empty table stays empty.
     """
     found = NgramJoin(spark, **options)
     named = found.scratch.save(found.result(docs), "components")
     gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     if not named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.withColumn("__th", F.xxhash64("text")).dropDuplicates(["doc_id", "__th"]).drop("__th")
+        once = kept.where("doc_id is not null").withColumn("__th", F.xxhash64("text")).dropDuplicates(["doc_id", "__th"]).drop("__th")
+        kept = once.unionByName(kept.where("doc_id is null"))
     return kept
 
 

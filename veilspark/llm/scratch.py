@@ -2,11 +2,12 @@
 
 Intermediate results are written as Parquet below the folder that the cluster names in
 ``spark.checkpoint.dir``; every executor can read them, so a lost executor costs a reread and
-never a result.  Only where no such folder is set (tests, local sessions) one is made.
+never a result.  Only where no such folder is set and the master is local (tests) one is made.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ from .shingles import mix
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a temporary one only where it is unset."""
+    """The session's checkpoint folder; where it is unset, a temporary one in a local session and an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scratch-"))
     return context.getCheckpointDir()
 
 
