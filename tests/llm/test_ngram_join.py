@@ -106,7 +106,6 @@ def test_orders_are_intersected_before_sets_are_compared(spark):
     rows = [(i, shared + " " + " ".join(f"u{rng.randrange(10**7)}" for _ in range(60))) for i in range(12)]
     rows += [(100 + i, t) for i, t in enumerate(near_copies(rng, 4, 80, 1))]
     join = NgramJoin(spark)
-    join._repeats = False
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     measured = join._measure(docs).where("kind = 0").select("id", "key").collect()
     key = {r.id: r.key for r in measured}

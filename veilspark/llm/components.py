@@ -18,21 +18,21 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``edges(a, b)`` of longs to ``(node, component)`` for every node that an edge names.
+def connected_components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
+    """``edges(a, b)`` of longs to ``(node, component)`` for every node that an edge names; rows: about how many edges there are.
 
     Self-loops, repeated edges and both directions are allowed; an empty table gives an empty one.
     """
     edges = edges.select("a", "b").where("a <> b")
-    now = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     before = _checksum(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = scratch.save(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = scratch.save(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", before[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after_table = scratch.save(small.where("a <> b").distinct(), "edges")
+        after_table = scratch.save(small.where("a <> b").distinct(), "edges", before[0])
         after = _checksum(after_table)
         scratch.drop(now, large)
         now = after_table

@@ -80,6 +80,7 @@ class NgramJoin:
     def __init__(self, spark: SparkSession, width: int = 5, t_num: int = 75, t_den: int = 100, most_frequent: int = 1 << 18, least_frequent: int = 64, crowd: int = 16, rounds: int = 2, tile: int = 128, orders: int = 3):
         self.spark, self.scratch = spark, Scratch(spark)
         self.width, self.t_num, self.t_den = width, t_num, t_den
+        self._repeats, self._rows = False, 0  # found in the run: whether rows repeat; about how many posting rows are left
         self.most_frequent, self.least_frequent, self.crowd, self.rounds, self.tile, self.orders = most_frequent, least_frequent, crowd, rounds, tile, orders
 
     # -- sets, classes and frequent shingles ------------------------------------------------
@@ -218,7 +219,7 @@ class NgramJoin:
         rows = rows.join(kinds.where("parts > 1").drop("parts"), "token")  # a list with one component has nothing left
         rows = rows.withColumn("least", F.expr(f"greatest(least, cast(ceil({t_num} * n / {t_den}) as int))")).withColumn("most", F.expr(f"least(most, cast(floor({t_den} * n / {t_num}) as int))"))
         rows = rows.withColumn("big", F.expr(f"m >= {crowd}")).withColumn("family", F.expr("if(big, main, token)")).withColumn("inner", F.expr("big and component = main"))
-        rows = self.scratch.save(rows, "open")
+        rows = self.scratch.save(rows, "open", self._rows)
         rows = rows.join(rows.groupBy("key").agg(F.count("*").cast("int").alias("on")), "key").where(f"least <= most and on + 1 >= least({need('least')}, {need('most')})")
         short = rows.where("not big").select("token", "key", "n", "component", "on", F.lit(False).alias("big"), "family", F.lit(0).alias("part"), F.lit(0).alias("i"), F.lit(0).alias("j"))
         crowded = rows.where("big")
@@ -374,7 +375,7 @@ class NgramJoin:
 
         marks = known.select("key", "n", "signature")
         both = pairs.join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        return self.scratch.save(both.mapInArrow(work, "a long, b long"), "filtered")
+        return both.mapInArrow(work, "a long, b long")
 
     def _compare(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """The pairs (a, b) of class keys that link: those that all orders let pass, on whole sets."""
@@ -394,12 +395,12 @@ class NgramJoin:
         left = self._filtered(pairs, known)
         sets = known.select("key", "tokens")
         both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return self.scratch.save(both.mapInArrow(linked, "a long, b long"), "links")
+        return self.scratch.save(both.mapInArrow(linked, "a long, b long"), "links", self._rows)
 
     def _crowds(self, lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): links of centres of crowded lists."""
         crowd = lists.join(lists.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= self.crowd), "token", "left_semi")
-        crowd = self.scratch.save(crowd.join(crowd.groupBy("key").agg(F.count("*").alias("popular")), "key"), "crowd")
+        crowd = self.scratch.save(crowd.join(crowd.groupBy("key").agg(F.count("*").alias("popular")), "key"), "crowd", self._rows)
         known = self._sets(crowd.select("key").distinct(), docs, classes)
         found = self._compare(self._stars(crowd.withColumn("linked", F.lit(False)), 0), known)
         for turn in range(1, self.rounds):
@@ -427,19 +428,21 @@ class NgramJoin:
         sized = measured.where("kind = 0").select(F.col("id").alias("doc_id"), "key", "n")
         counted = sized.where("n > 0 and doc_id is not null")
         self._repeats = not counted.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
-        classes = self.scratch.save(counted.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-        lists = self.scratch.save(self._lists(self._postings(docs, frequent)), "lists")
+        rows, postings = counted.agg(F.count("*"), F.expr(f"coalesce(sum(n - cast(ceil({self.t_num} * n / {self.t_den}) as long) + 1), 0)")).first()
+        classes = self.scratch.save(counted.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes", rows)
+        lists = self.scratch.save(self._lists(self._postings(docs, frequent)), "lists", postings // 4)
+        self._rows = lists.count()
         edges = self._crowds(lists, docs, classes)
-        merged = self.scratch.save(connected_components(edges, self.scratch), "merged")
-        rest = self.scratch.save(self._unconnected(lists, merged), "pairs")
+        merged = self.scratch.save(connected_components(edges, self.scratch, rows), "merged", rows)
+        rest = self.scratch.save(self._unconnected(lists, merged), "pairs", self._rows)
         self.scratch.drop(lists)
         ends = rest.select(F.col("a").alias("key")).union(rest.select(F.col("b").alias("key"))).distinct()
         second = self._compare(rest, self._sets(ends, docs, classes))
         edges = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
-        components = connected_components(edges, self.scratch)
+        components = connected_components(edges, self.scratch, rows)
         named = classes.join(components, classes.key == components.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        names = self.scratch.save(named.join(least, "component").select("key", "component_id"), "names")
+        names = self.scratch.save(named.join(least, "component").select("key", "component_id"), "names", rows)
         out = sized.join(names.select(F.col("key").alias("class_key"), "component_id"), (F.col("n") > 0) & (F.col("key") == F.col("class_key")), "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

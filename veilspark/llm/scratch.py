@@ -44,8 +44,14 @@ class Scratch:
     def _fs(self, where: str):
         return self._path(where).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and reread: cuts the lineage, and fixes what later steps see."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None, each: int = 500_000) -> DataFrame:
+        """Write and reread: cuts the lineage, and fixes what later steps see.
+
+        ``rows``: about how many narrow rows there will be; they are packed into files of about ``each``, so that many
+        shuffle partitions don't become many small files.
+        """
+        if rows is not None:
+            df = df.repartition(1 + rows // each)
         where = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
