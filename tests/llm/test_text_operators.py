@@ -17,32 +17,51 @@ def text_of(rng, lang, n):
 
 
 def plain_phrases(reference, text):
-    """Greedy parse of a folded text into the longest phrases of the reference, in blocks."""
-    count = 0
-    for start in range(0, len(text), language.BLOCK):
-        block, i = text[start : start + language.BLOCK], 0
-        while i < len(block):
-            j = i + 1
-            while j <= len(block) and block[i:j] in reference:
-                j += 1
-            i = max(i + 1, j - 1)
-            count += 1
+    """Greedy parse of a whole folded text into the longest phrases of the reference."""
+    count = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in reference:
+            j += 1
+        i = max(i + 1, j - 1)
+        count += 1
     return count
 
 
-def test_cross_parsing_matches_a_plain_parse():
+def fold(text):
+    return "".join(chr(c) if c else " " for c in language.letters([text])[0])
+
+
+@pytest.mark.parametrize("options", [{}, {"dense": 0}, {"together": 1}])
+def test_cross_parsing_matches_a_plain_parse(options, monkeypatch):
     rng = random.Random(4)
-    samples = {k: [text_of(rng, k, 80)] for k in WORDS}
-    model = language.Model(samples)
-    texts = [text_of(rng, rng.choice(list(WORDS)), n) for n in (1, 5, 40, 700)] + ["", None, "123 !!", "Ünß 9 x"]
-    counts, size, letters = model.parse(texts)
-    fold = lambda t: "".join(chr(c) if c else " " for c in language.letters([t])[0])
-    for k, name in enumerate(model.names):
-        reference = fold(samples[name][0])
-        assert [plain_phrases(reference, fold(t)) for t in texts] == counts[k].tolist()
+    samples = {k: [text_of(rng, k, 80)] for k in WORDS} | {"zh": ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(1200))]}
+    model = language.Model(samples, **options)
+    texts = [text_of(rng, rng.choice(list(WORDS)), n) for n in (1, 5, 40, 700)] + ["", None, "123 !!", "Ünß 9 x", "日本 the " * 30, samples["fr"][0] * 5, samples["zh"][0] * 3]
+    for block in (1000, 7, 1):
+        monkeypatch.setattr(language, "BLOCK", block)
+        counts, size, letters = model.parse(texts)
+        for k, name in enumerate(model.names):
+            reference = fold(samples[name][0])
+            assert [plain_phrases(reference, fold(t)) for t in texts] == counts[k].tolist()
     names, scores = model.predict(texts)
     assert names[4:7] == ["und"] * 3 and (scores >= 0).all() and (scores <= 1).all()
-    assert letters[6] == 0
+    assert letters[6] == 0 and names[10] == "zh"
+
+
+def test_any_number_of_languages():
+    rng = random.Random(6)
+    alphabets = {f"l{i:03}": [chr(0x3400 + 12 * i + j) for j in range(12)] for i in range(300)}
+    model = language.Model({k: ["".join(rng.choice(v) for _ in range(200))] for k, v in alphabets.items()})
+    texts = ["".join(rng.choice(v) for _ in range(30)) for v in alphabets.values()]
+    assert model.predict(texts)[0] == list(alphabets)
+
+
+def test_ties_repeated_rows_and_a_very_long_text():
+    text = "abc abd " * 20
+    model = language.Model({"b": [text], "a": [text], "c": ["xyz" * 50]})
+    names, scores = model.predict([text, text, text * 40_000])
+    assert names == ["a"] * 3 and scores[0] == scores[1] and abs(scores[0] - 0.5) < 1e-6
 
 
 def test_languages_are_found_on_held_out_rows(spark):
