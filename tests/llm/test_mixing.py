@@ -75,5 +75,23 @@ def test_documents_keep_their_columns(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.taken // r["size"] for r in report if r["size"] and r.taken})
 
 
+def test_rows_without_words_are_never_taken(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", None), (4, "one two", "a"), (None, "x y z", None), (5, None, "only null")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.mix_documents(spark, df).collect()} <= {4, None}
+    assert {r.doc_id: r.taken for r in mixing.mix_report(spark, df).collect() if r.doc_id not in (4, None)} == {1: 0, 2: 0, 3: 0, 5: 0}
+
+
+def test_targets_of_many_sources(spark):
+    from veilspark.llm.scratch import Scratch
+
+    rng = random.Random(9)
+    sizes = {f"s{i:04}": rng.choice([0, 1, 5, 1000, rng.randrange(10**6)]) for i in range(700)} | {None: 77, "é": 5}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    got = {r.source: r.target for r in mixing.source_targets(df, Scratch(spark)).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_empty(spark):
     assert mixing.mix_report(spark, spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []

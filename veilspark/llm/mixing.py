@@ -21,22 +21,30 @@ _ITEM = "struct<size: bigint, doc_id: bigint, th: bigint, m: bigint, p: double>"
 _DONE = "array<struct<doc_id: bigint, th: bigint, m: bigint, size: bigint, up: int>>"
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``sizes(source, source_size)`` to ``(source, source_size, target)``.
 
     Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share ``share`` times all sizes; no target
     is over ``most`` times its source's size, and the excess goes to the others by weight.  The fixed point is
-    ``min(most * size, level * weight)``; the level is read off the running sums over sources by ``size / weight``.
+    ``min(most * size, level * weight)``: the level rises from the even share as sources reach their bound, which ends when no more do.
+
+    Sources are ranked in ranges, from counts of the ranges, so that any number of them is dealt over tasks.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    t = sizes.select("source", "source_size", w.alias("w")).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("r", F.col("cap") / F.col("w"))
-    filled = Window.orderBy("r", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    left = F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    t = t.withColumn("level", left / F.sum("w").over(filled.rowsBetween(0, Window.unboundedFollowing)))
-    level = F.max(F.when(F.col("level") <= F.col("r"), F.col("level"))).over(everything)
-    return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level, F.lit(0.0)) * F.col("w")).alias("target"))
+    name = F.col("source").asc_nulls_last()
+    dealt = scratch.save(sizes.select("source", "source_size").repartitionByRange(name).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = dict(dealt.groupBy("part").count().collect())  # a row for each range
+    starts = [0]
+    for part in range(max(counts, default=0)):
+        starts.append(starts[-1] + counts.get(part, 0))
+    place = F.element_at(F.array(*[F.lit(x) for x in starts]), F.col("part") + 1) + F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
+    t = scratch.save(dealt.select("source", "source_size", w.alias("w")).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("r", F.col("cap") / F.col("w")), "weights")
+    level, before = 0.0, -1.0
+    while level != before:  # sums of whole numbers: exact, whatever their order
+        before, full = level, F.col("r") <= F.lit(level)
+        size, capped, free = t.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        level = max(level, (share * size - capped) / free) if free else level
+    return t.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target") if level else F.lit(0.0).alias("target"))
 
 
 def _fold(seed: int) -> str:
@@ -64,7 +72,7 @@ def mix_units(spark: SparkSession, docs: DataFrame, seed: int = 17, fan: int = 6
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("th"), size.alias("size"))
     units = scratch.save(rows.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("m")), "units")
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
-    sources = scratch.save(source_targets(sources, weights, share, most).join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "sources")
+    sources = scratch.save(source_targets(sources, scratch, weights, share, most).join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "sources")
     most_units = sources.agg(F.max("n")).first()[0] or 0
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     full = units.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -87,7 +95,8 @@ def mix_units(spark: SparkSession, docs: DataFrame, seed: int = 17, fan: int = 6
         ups = ups.union(d)
     ups = ups.select("source", "d.doc_id", "d.th", "d.m", F.expr("d.size div d.m").alias("size"), "d.up").union(full.where(~loose).select("source", "doc_id", "th", "m", "size", F.lit(0).alias("up")))
     out = ups.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    return out.select("doc_id", "source", "th", "size", "m", "source_size", "target", (F.floor(per + 1e-12).cast("int") + F.col("up")).alias("copies"))
+    copies = F.when(F.col("size") > 0, F.floor(per + 1e-12).cast("int") + F.col("up")).otherwise(0)
+    return out.select("doc_id", "source", "th", "size", "m", "source_size", "target", copies.alias("copies"))
 
 
 def mix_report(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
@@ -102,7 +111,11 @@ def mix_report(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as it is taken, with the columns of ``docs``."""
+    """The documents themselves, each as often as it is taken, with the columns of ``docs``.
+
+    Texts that are null or have no words have size 0 and are never taken; a null source is a source of its own, rows with a null
+    doc_id are taken like others; repeated rows are taken or left together; an empty table stays empty.
+    """
     units = mix_units(spark, docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("th").alias("__th"), F.col("copies").alias("__copies"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__th"))
     return docs.join(units, same).withColumn("__k", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
