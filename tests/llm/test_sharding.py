@@ -58,6 +58,35 @@ def test_zoom_reaches_single_groups(spark):
     assert capacity == brute_capacity(sizes, 8) and len(cuts) == 7
 
 
+def test_heavy_groups_leave_no_shard_empty(spark):
+    rng = random.Random(4)
+    small = [(i, "x" * rng.randrange(1, 90) + str(i)) for i in range(2000)]
+    for heavy in ([(5000 + i, "hot text") for i in range(4000)], [(9000, "y" * 40_000), (9001, "z" * 15_000), (9002, None)] + [(None, "q")] * 900):
+        rows = small + heavy
+        out = sharding.shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+        loads = check(rows, out, 24)
+        sizes = Counter()
+        for _, t in rows:
+            sizes[t] += len((t or "").encode()) + 8
+        biggest, total = max(sizes.values()), sum(sizes.values())
+        assert len(loads) == 24 and max(loads.values()) == biggest
+        if sum(v * 24 > total for v in sizes.values()) == 1:  # a run between two heavy groups may be short
+            rest = sorted(loads.values())[:-1]
+            assert max(rest) < 1.2 * min(rest)
+
+
+def test_plans_stay_within_the_smallest_capacity():
+    rng = random.Random(12)
+    for _ in range(400):
+        sizes = [rng.choice([1, 2, 9, 300]) * rng.randrange(1, 5) for _ in range(rng.randrange(1, 40))]
+        shards = rng.randrange(1, 9)
+        cells = np.array([[i, 64, w, w, 1] for i, w in enumerate(sizes)])
+        ends, capacity, opened = sharding._plan(cells, 0, len(sizes), shards)
+        loads = [sum(sizes[a:b]) for a, b in zip([0, *ends], ends)]
+        assert not opened and len(ends) == shards and ends[-1] == len(sizes) and ends == sorted(ends)
+        assert max(loads) <= capacity == brute_capacity(sizes, shards)
+
+
 def test_few_groups_and_empty(spark):
     rows = [(1, "a"), (2, "a"), (3, "b")]
     check(rows, sharding.shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 24).collect(), 24)
