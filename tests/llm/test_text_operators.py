@@ -219,3 +219,59 @@ def test_licences_and_inheritance(spark):
     out = {r.doc_id: r for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert len(out) == len(rows)
     assert {i: (out[i].license, out[i].origin) for i in out} == {1: ("MIT", "header"), 2: ("Apache-2.0", "file"), 3: ("Proprietary", "a/b"), 4: (None, None), 5: (None, None), 6: ("Apache-2.0", "a"), 7: ("Proprietary", "header"), 8: ("Proprietary", "a/b")}
+
+
+def brute_licence(scorer, lines):
+    """Every window of every line against every header template, by plain TF-IDF vectors."""
+    best = None
+    for line in lines:
+        found = licenses.terms(line)
+        for name, text in licenses.HEADERS:
+            model = licenses.terms(text)
+            for i in range(max(1, len(found) - len(model) + 1)):
+                part = found[i : i + len(model)]
+                w = {t: part.count(t) * scorer.idf.get(t, scorer.other) for t in part}
+                v = {t: model.count(t) * scorer.idf[t] for t in model}
+                norm = (sum(x * x for x in w.values()) * sum(x * x for x in v.values())) ** 0.5
+                c = sum(w[t] * v[t] for t in w if t in v) / norm if norm else 0
+                if c >= scorer.least and (best is None or (-round(c, 9), name) < (-round(best[0], 9), best[1])):
+                    best = (c, name)
+    return best
+
+
+def test_header_windows_match_brute_force(spark):
+    rng = random.Random(7)
+    filler = "the of this is to any work terms public version general free copy under and software".split() + [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(120):
+        words = [rng.choice(filler) for _ in range(rng.randrange(0, 25))]
+        if rng.random() < 0.6:
+            model = rng.choice(licenses.HEADERS)[1].split()
+            model = [w for w in model if rng.random() < 0.85]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = model
+        texts.append(" ".join(words))
+    files = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    n, df = licenses.line_counts(files)
+    assert n == sum(bool(licenses.terms(t)) for t in texts) and all(df.get(v, 0) == sum(v in licenses.terms(t) for t in texts) for v in licenses.VOCABULARY)
+    scorer = licenses.Scorer(n, df, 0.6)
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark, files).collect()}
+    for i, t in enumerate(texts):
+        want = brute_licence(scorer, [t])
+        assert (out[i].own, out[i].cosine) == ((want[1], pytest.approx(want[0], abs=2e-6)) if want else (None, None)), t
+
+
+def test_usual_headers_and_licence_files(spark):
+    mit = dict(licenses.FULL)["MIT"]
+    rows = [(1, "p/a.py", "SPDX-License-Identifier: Apache-2.0"), (2, "p/b.py", "// This project is licensed under the MIT License - see the LICENSE file for details"), (3, "q/LICENSE", mit), (4, "q/r/s/t.c", "int x;"), (5, "q/COPYING.txt", None)]
+    rows += [(6, "r/c.py", "Copyright (c) 2020 Jane Doe. All rights reserved."), (7, "r/d.py", "x " * 300_000 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software" + " y" * 9)]
+    rows += [(None, "r/e.py", None), (8, "r/f.py", "All rights reserved."), (1, None, "a"), (1, "a", None), (1, None, "a")]
+    df = spark.createDataFrame([(*r, "own", 1.0) for r in rows], "doc_id long, path string, text string, license string, cosine double")
+    out = licenses.scan_licenses(spark, df).collect()
+    assert len(out) == len(rows)
+    got = {(r.doc_id, r.path): (r.license, r.origin) for r in out}
+    assert got[1, "p/a.py"] == ("Apache-2.0", "header") and got[2, "p/b.py"][0] == "MIT" and got[3, "q/LICENSE"] == ("MIT", "file")
+    assert got[4, "q/r/s/t.c"] == got[5, "q/COPYING.txt"] == ("MIT", "q")
+    assert got[6, "r/c.py"] == ("Proprietary", "header") and got[7, "r/d.py"] == ("MIT", "header")
+    assert got[None, "r/e.py"] == ("Proprietary", "r") and got[1, None] == (None, None)
+    assert licenses.scan_licenses(spark, df.limit(0)).count() == 0

@@ -61,7 +61,10 @@ def op8_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    """Documents stand for files of folders below ``source/lang``; one in 64 is named as a licence file."""
+    name = F.expr("if(pmod(doc_id, 64) = 0, 'LICENSE', concat(doc_id, '.txt'))")
+    folder = F.expr("concat('d', pmod(doc_id div 64, 4), if(pmod(doc_id, 3) = 0, '', concat('/e', pmod(doc_id, 5))))")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder, name)
     return scan_licenses(spark, table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
 
 
