@@ -1,26 +1,33 @@
 """Exact cosine near-duplicates of embeddings by dual traversal of cover trees.
 
-On unit vectors cosine >= c is chord distance <= sqrt(2 - 2c).  The upper levels of the tree are a net
+On unit vectors cosine >= c is chord distance <= sqrt(2 - 2c) =: e.  The upper levels of the tree are a net
 over a bounded sample (farthest-first, so every prefix of it is a level and their radii fall); each vector goes to its
-nearest node, and a node's covering radius is the largest distance in it, taken over all vectors.  Two nodes whose centres are
-further apart than both radii and the threshold hold no link; each pair that remains is a task, in
-which the lower levels (radii halve, or the fan-out limit is reached) are built and both trees are
-walked together.  A pair of nodes is dropped, counted whole when even its farthest points link, or
-opened; leaves are compared by matrix products in double precision.
+nearest node, and a node's covering radius is the largest distance in it, taken over all vectors.  Nodes of more than ``capacity``
+vectors are dealt in parts, *cells*.  A vector visits a later cell only if something in it can be within e: its distance to that
+node's centre is at most the covering radius plus e, and its distance to the hyperplane between both centres at most e
+(all of the other node lies beyond it).  In a cell the lower levels (radii halve, or the fan-out limit is reached) are built and
+both trees, of residents and of a batch of visitors, are walked together.  A pair of nodes is dropped, counted whole when even its
+farthest points link, or opened; leaves are compared by matrix products in double precision.
+
+So vectors in groups that are further apart than their radii and e visit few cells, however many there are.  Vectors without such
+groups (independent ones in many dimensions are all about sqrt(2) apart) visit most later cells: no bound on distances can tell
+them apart, and the work is that of all pairs.
 
 Bitwise equal vectors are one class with a count.  A task returns, for each vector, its number of links and
-the smallest vector of its local component, never the pairs themselves.
+the smallest vector of its local component, never the pairs themselves; it holds a cell and a batch of visitors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, bounded_batches
+from .shingles import mix
 
 _SLACK = 1e-9
 
@@ -121,13 +128,13 @@ class _Union:
         self.parent[roots[1:]] = roots[0]
 
 
-def link(x: np.ndarray, m: np.ndarray, y: np.ndarray | None, w: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links within x (y None) or between x and y: for the rows of x, then of y, the linked multiplicity and the local component's root index."""
-    s = CoverTree(x)
-    t = s if y is None else CoverTree(y)
-    n, own = len(x), y is None
+def link(s: CoverTree, m: np.ndarray, t: CoverTree | None, w: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within s (t None) or between s and t: for the points of s, then of t, the linked multiplicity and the local component's root index."""
+    own = t is None
+    t = s if own else t
+    n = len(s.x)
     weight = m if own else w
-    links, union, shift = np.zeros(n + (0 if own else len(y)), dtype=np.int64), _Union(n + (0 if own else len(y))), 0 if own else n
+    links, union, shift = np.zeros(n + (0 if own else len(t.x)), dtype=np.int64), _Union(n + (0 if own else len(t.x))), 0 if own else n
     for kind, i, j in dual_traversal(s, t, float(np.sqrt(2 - 2 * least))) if n and len(t.x) else ():
         p = s.points(i)
         q = t.points(j) if kind == "all" else np.concatenate([t.points(k) for k in j])
@@ -161,28 +168,56 @@ def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def embedding_near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.95, sample: int = 4096, capacity: int = 8192, most_nodes: int = 1024) -> DataFrame:
+class Upper:
+    """The upper levels for vectors of one length: centres, covering radii, and the cells of each node (first cell, how many)."""
+
+    def __init__(self, centres: np.ndarray, reach: float):
+        self.centres, self.reach = centres, reach
+        self.between = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))  # at most most_nodes squared
+
+    def place(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node = np.argmax(u @ self.centres.T, axis=1)
+        return node, np.linalg.norm(u - self.centres[node], axis=1)
+
+    def cells(self, counts: np.ndarray, radii: np.ndarray, capacity: int, first: int) -> int:
+        self.radii, self.parts = radii, np.maximum(1, -(-counts // capacity))
+        self.first = first + np.cumsum(self.parts) - self.parts
+        return first + int(self.parts.sum())
+
+    def visits(self, u: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Which nodes each vector may link into, its own among them; only those after its own are asked."""
+        product = u @ self.centres.T
+        away = np.sqrt(np.maximum(0, 2 - 2 * product))
+        margin = np.take_along_axis(product, node[:, None], axis=1) - product
+        near = (away <= self.radii[None, :] + self.reach + _SLACK) & (margin <= self.reach * self.between[node] + _SLACK)
+        return near & (np.arange(len(self.centres))[None, :] >= node[:, None])
+
+
+def embedding_near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.95, sample: int = 4096, capacity: int = 8192, most_nodes: int = 1024, lengths: int = 64) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of ``rows(vec_id, embedding)``.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
-    components; so do vectors of different lengths with each other.  Repeated rows are copies that link.
-    ``sample``, ``most_nodes``: bounds of what the driver holds; ``capacity``: vectors of a part of a node in one task.
+    components; so do vectors of different lengths with each other.  Repeated rows are copies that link; further columns play no
+    part; an empty table gives an empty result.
+    ``sample``, ``most_nodes``: bounds of what the driver holds; ``capacity``: vectors of a cell; ``lengths``: lengths of vectors that
+    are treated in one job, the others in further jobs.
     """
     scratch = Scratch(spark)
+    bounded_batches(spark)
     finite = F.expr("coalesce(embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(embedding, v -> v <> 0), false)")
     # one pass: whether it counts, and its class (equal bits); the class keeps one copy of the vector
-    marked = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    marked = marked.withColumn("key", F.when(finite, F.xxhash64("embedding")))
+    marked = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    marked = marked.withColumn("key", F.when(finite, F.xxhash64(F.col("embedding").cast("array<double>"))))
     classes = marked.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.any_value("embedding").alias("embedding"))
     classes = scratch.save(classes.withColumn("dims", F.size("embedding")), "classes")
+    kinds = [(r.dims, r["count"]) for r in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").collect()]
     found: DataFrame | None = None
-    for (dims,) in sorted(classes.select("dims").distinct().collect()):
-        part = _links(spark, scratch, classes.where(F.col("dims") == dims).select("key", "m", "embedding"), least, sample, capacity, most_nodes)
+    for k in range(0, len(kinds), lengths):
+        part = _links(spark, scratch, classes.select("key", "m", "embedding", "dims"), dict(kinds[k : k + lengths]), least, sample, capacity, most_nodes)
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], "key long, links long, root long")
-    found = scratch.save(found, "found")
-    components = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), scratch)
+    components = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), scratch, classes.count())
     named = classes.select("key", "rep", "m").join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
@@ -192,51 +227,120 @@ def embedding_near_duplicates(spark: SparkSession, rows: DataFrame, least: float
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(spark: SparkSession, scratch: Scratch, classes: DataFrame, least: float, sample: int, capacity: int, most_nodes: int) -> DataFrame:
-    """(key, links, root): for each vector with links in a task, how many and the smallest key of its component there."""
-    n = classes.count()
-    x = _unit(classes.orderBy("key").limit(sample).select("embedding").toArrow()["embedding"])  # keys are hashes: a fair sample
-    chosen, _ = farthest_first(x, min(most_nodes, -(-n // capacity)))
-    centres = spark.sparkContext.broadcast(x[chosen])
+def _by_length(batch: pa.RecordBatch, at: int, upper: dict):
+    """(row numbers, unit vectors, upper levels) of the rows of each length in a batch."""
+    dims = pc.list_value_length(batch.column(at)).to_numpy(zero_copy_only=False)
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        yield rows, _unit(batch.column(at).take(pa.array(rows))), upper[int(d)]
+
+
+def cells_of(spark: SparkSession, scratch: Scratch, classes: DataFrame, kinds: dict[int, int], least: float, sample: int, capacity: int, most_nodes: int) -> DataFrame:
+    """(cell, chunk, visitor, key, m, embedding): the residents of each cell and the vectors that visit it."""
+    reach, upper = float(np.sqrt(2 - 2 * least)), {}
+    classes = classes.where(F.col("dims").isin(list(kinds)))
+    for dims, n in kinds.items():
+        x = _unit(classes.where(F.col("dims") == dims).orderBy("key").limit(sample).select("embedding").toArrow()["embedding"])  # keys are hashes: a fair sample
+        upper[dims] = Upper(x[farthest_first(x, min(most_nodes, -(-n // capacity)))[0]], reach)
+    shared = spark.sparkContext.broadcast(upper)  # most_nodes centres of each length at most
+    kind = classes.schema["embedding"].dataType.simpleString()
 
     def assign(batches):
-        c = centres.value
         for batch in batches:
-            u = _unit(batch.column(2))
-            product = u @ c.T
-            node = np.argmax(product, axis=1)
-            away = np.linalg.norm(u - c[node], axis=1)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(node.astype(np.int32)), pa.array(away)], names=["key", "m", "embedding", "node", "away"])
-
-    placed = scratch.save(classes.mapInArrow(assign, "key long, m long, embedding array<double>, node int, away double"), "placed")
-    nodes = placed.groupBy("node").agg(F.max("away").alias("r"), F.count("*").alias("c")).orderBy("node").toArrow()  # a row for each node
-    node, r, count = (nodes[k].to_numpy() for k in ("node", "r", "c"))
-    c = x[chosen][node]
-    parts = -(-count // capacity)
-    reach = np.sqrt(2 - 2 * least)
-    near = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) <= r[:, None] + r[None, :] + reach + _SLACK
-    rows = [(int(node[i]), int(node[j]), int(parts[i]), int(parts[j])) for i, j in zip(*np.nonzero(near), strict=True)]
-    met = spark.createDataFrame(rows, "node int, other int, parts int, other_parts int")
-    tiles = placed.join(F.broadcast(met), "node").withColumn("part", F.expr("cast(pmod(xxhash64(key), parts) as int)"))
-    tiles = tiles.withColumn("other_part", F.explode(F.expr("sequence(0, other_parts - 1)")))
-    forward = "(node < other or (node = other and part <= other_part))"
-    tiles = tiles.select("key", "m", "embedding", *[F.expr(f"if({forward}, {p}, {q})").alias(k) for k, p, q in (("i", "node", "other"), ("ip", "part", "other_part"), ("j", "other", "node"), ("jp", "other_part", "part"))], F.expr(f"{forward} or false").alias("left"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        key, m = (table[k].to_numpy() for k in ("key", "m"))
-        u, left = _unit(table["embedding"]), table["left"].to_numpy()
-        own = bool(left.all()) and table["i"][0] == table["j"][0] and table["ip"][0] == table["jp"][0]
-        at = np.argsort(~left, kind="stable")
-        key, m, u, size = key[at], m[at], u[at], int(left.sum())
-        if own:
-            links, root = link(u, m, None, None, least)
-        elif 0 < size < len(key):
-            links, root = link(u[:size], m[:size], u[size:], m[size:], least)
-        else:
-            links, root = np.zeros(len(key), dtype=np.int64), np.arange(len(key))
+            node, away = np.zeros(batch.num_rows, dtype=np.int32), np.zeros(batch.num_rows)
+            for rows, u, levels in _by_length(batch, 2, shared.value):
+                node[rows], away[rows] = levels.place(u)
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(node), pa.array(away)], names=["key", "m", "embedding", "node", "away"])
+
+    placed = scratch.save(classes.select("key", "m", "embedding").mapInArrow(assign, f"key long, m long, embedding {kind}, node int, away double"), "placed")
+    of = placed.groupBy(F.size("embedding").alias("dims"), "node").agg(F.max("away").alias("r"), F.count("*").alias("c")).toArrow()  # a row for each node
+    dims, node, r, c = (of[k].to_numpy() for k in ("dims", "node", "r", "c"))
+    first = 0
+    for d, levels in upper.items():
+        count, radii, mine = np.zeros(len(levels.centres), dtype=np.int64), np.zeros(len(levels.centres)), dims == d
+        count[node[mine]], radii[node[mine]] = c[mine], r[mine]
+        first = levels.cells(count, radii, capacity, first)
+    measured = spark.sparkContext.broadcast(upper)
+
+    def count_visits(batches):
+        total = {d: np.zeros(len(levels.centres), dtype=np.int64) for d, levels in measured.value.items()}
+        for batch in batches:
+            for rows, u, levels in _by_length(batch, 0, measured.value):
+                total[u.shape[1]] += levels.visits(u, batch.column(1).to_numpy()[rows]).sum(axis=0)
+        for d, n in total.items():
+            yield pa.record_batch([pa.array(np.full(len(n), d, dtype=np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["dims", "node", "n"])
+
+    visits = placed.select("embedding", "node").mapInArrow(count_visits, "dims int, node int, n long").groupBy("dims", "node").agg(F.sum("n").alias("n")).orderBy("dims", "node").toArrow()
+    counted = dict(zip(zip(visits["dims"].to_pylist(), visits["node"].to_pylist(), strict=True), visits["n"].to_pylist(), strict=True))
+    # a cell's visitors are dealt in chunks of about 16 cells' worth
+    chunks = np.array([max(1, -(-counted[d, k] // (16 * capacity))) for d, levels in upper.items() for k in range(len(levels.centres)) for _ in range(levels.parts[k])], dtype=np.int64)
+    ready = spark.sparkContext.broadcast((upper, chunks))
+
+    def deal(batches):
+        upper, chunks = ready.value
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            salt = mix(key.view(np.uint64), 801)
+            for rows, u, levels in _by_length(batch, 2, upper):
+                node = batch.column(3).to_numpy()[rows]
+                part = (salt[rows] % levels.parts[node].astype(np.uint64)).astype(np.int64)
+                home = levels.first[node] + part
+                near = levels.visits(u, node)
+                who, other = np.nonzero(near)
+                reps = levels.parts[other]
+                who, cell = np.repeat(who, reps), np.repeat(levels.first[other], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+                later = cell > home[who]
+                who, cell = who[later], cell[later]
+                chunk = (salt[rows][who] >> np.uint64(32)).astype(np.int64) % chunks[cell]
+                stay = np.repeat(np.arange(len(rows)), chunks[home])
+                own = np.arange(len(stay)) - np.repeat(np.cumsum(chunks[home]) - chunks[home], chunks[home])
+                take, visitor = np.r_[stay, who], np.r_[np.zeros(len(stay), dtype=bool), np.ones(len(who), dtype=bool)]
+                cells, parts = np.r_[home[stay], cell], np.r_[own, chunk]
+                for i in range(0, len(take), 8192):
+                    of = slice(i, i + 8192)
+                    at = pa.array(rows[take[of]])
+                    yield pa.record_batch([pa.array(cells[of].astype(np.int32)), pa.array(parts[of].astype(np.int32)), pa.array(visitor[of]), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)], names=["cell", "chunk", "visitor", "key", "m", "embedding"])
+
+    return placed.mapInArrow(deal, f"cell int, chunk int, visitor boolean, key long, m long, embedding {kind}")
+
+
+def _links(spark: SparkSession, scratch: Scratch, classes: DataFrame, kinds: dict[int, int], least: float, sample: int, capacity: int, most_nodes: int) -> DataFrame:
+    """(key, links, root): for each vector with links in a task, how many and the smallest key of its component there."""
+    dealt = cells_of(spark, scratch, classes, kinds, least, sample, capacity, most_nodes)
+
+    def told(key, links, root):
         low = np.full(len(key), np.iinfo(np.int64).max)
         np.minimum.at(low, root, key)
         keep = links > 0
-        return pa.table({"key": key[keep], "links": links[keep], "root": low[root][keep]})
+        return pa.record_batch([pa.array(key[keep]), pa.array(links[keep]), pa.array(low[root][keep])], names=["key", "links", "root"])
 
-    return scratch.save(tiles.groupBy("i", "ip", "j", "jp").applyInArrow(compare, "key long, links long, root long"), "links")
+    def compare(batches):
+        now, home, tree = None, [], None
+        for batch in batches:
+            cell, chunk, visitor, key, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (chunk[1:] != chunk[:-1]) | (visitor[1:] != visitor[:-1])]) if len(cell) else []
+            for a, b in zip(starts, [*starts[1:], len(cell)]):
+                if now != (cell[a], chunk[a]):
+                    if home and tree is None and now[1] == 0:
+                        yield own(home)
+                    now, home, tree = (cell[a], chunk[a]), [], None
+                rows = (key[a:b], m[a:b], _unit(batch.column(5).slice(a, b - a)))
+                if not visitor[a]:
+                    home.append(rows)
+                elif home:
+                    if tree is None:
+                        if now[1] == 0:
+                            yield own(home)
+                        names, counts, x = (np.concatenate(c) for c in zip(*home, strict=True))
+                        tree = CoverTree(x)
+                    links, root = link(tree, counts, CoverTree(rows[2]), rows[1], least)
+                    yield told(np.r_[names, rows[0]], links, root)
+        if home and tree is None and now[1] == 0:
+            yield own(home)
+
+    def own(home):
+        names, counts, x = (np.concatenate(c) for c in zip(*home, strict=True))
+        return told(names, *link(CoverTree(x), counts, None, None, least))
+
+    ordered = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "visitor")
+    return scratch.save(ordered.mapInArrow(compare, "key long, links long, root long"), "links")
