@@ -81,7 +81,8 @@ def test_rows_dealt_stay_bounded_for_vectors_in_groups(spark):
     shares = []
     for groups in (40, 400):
         vectors = clusters(6, groups, 20, 32, 0.05)
-        df = spark.createDataFrame([(i, 1, v, 32) for i, v in enumerate(vectors)], "key long, m long, embedding array<float>, dims int")
+        keys = np.random.default_rng(1).permutation(len(vectors)).tolist()  # hashes in the operator
+        df = spark.createDataFrame([(i, 1, v, 32) for i, v in zip(keys, vectors, strict=True)], "key long, m long, embedding array<float>, dims int")
         dealt = cover_tree.cells_of(spark, Scratch(spark), df, {32: len(vectors)}, 0.95, 4096, 20, 1024)
         shares.append(dealt.count() / len(vectors))
     assert shares[0] < 1.5 and shares[1] < 1.5
