@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches
+from .scratch import Scratch, bounded_batches
 from .shingles import batches as parts_of
 from .shingles import mix
 
@@ -301,7 +301,9 @@ def fit(spark: SparkSession, labelled: DataFrame, rows: int = 24, excerpt: int =
     """
     labelled = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     chosen = labelled.groupBy("lang", F.expr(f"pmod(h, {rows})").alias("k")).agg(F.min("h").alias("h")).select("lang", "h")
-    texts = labelled.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    chosen = Scratch(spark).save(chosen, "chosen")
+    few = chosen.count() <= 100_000  # ``rows`` for each language: 24 bytes each
+    texts = labelled.join(F.broadcast(chosen) if few else chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     part = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(h), greatest(1, length(text) - {excerpt} + 1)) as int), {excerpt})")
     samples: dict[str, list[str]] = {}
     for row in texts.select("lang", "h", part.alias("text")).orderBy("lang", "h").collect():
