@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .shingles import mix
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; where it is unset, a temporary one in a local session and an error on a cluster."""
     context = spark.sparkContext
@@ -47,13 +50,19 @@ class Scratch:
     def save(self, df: DataFrame, name: str, rows: int | None = None, each: int = 500_000) -> DataFrame:
         """Write and reread: cuts the lineage, and fixes what later steps see.
 
+        The shuffle files of the write go as soon as it ends, not when the driver happens to collect its garbage.
         ``rows``: about how many narrow rows there will be; they are packed into files of about ``each``, so that many
         shuffle partitions don't become many small files.
         """
         if rows is not None:
             df = df.repartition(1 + rows // each)
         where = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(where)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(where)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch_path = where
         return out
