@@ -375,7 +375,7 @@ class NgramJoin:
 
         marks = known.select("key", "n", "signature")
         both = pairs.join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        return both.mapInArrow(work, "a long, b long")
+        return self.scratch.save(both.mapInArrow(work, "a long, b long"), "filtered", self._rows)
 
     def _compare(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """The pairs (a, b) of class keys that link: those that all orders let pass, on whole sets."""
@@ -393,7 +393,13 @@ class NgramJoin:
                 yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
         left = self._filtered(pairs, known)
-        sets = known.select("key", "tokens")
+        bloom = self.spark.sparkContext.broadcast(bloom_of(left.select(F.col("a").alias("key")).union(left.select(F.col("b").alias("key"))).distinct(), "key"))
+
+        def wanted(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_bloom(bloom.value, _column(batch, "key"))))
+
+        sets = known.select("key", "tokens").mapInArrow(wanted, "key long, tokens binary")
         both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return self.scratch.save(both.mapInArrow(linked, "a long, b long"), "links", self._rows)
 
