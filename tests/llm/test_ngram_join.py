@@ -58,7 +58,7 @@ def test_groups_of_near_copies_and_a_shared_passage(spark):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     assert run(spark, rows, least_frequent=20) == brute(rows)
-    assert run(spark, rows, least_frequent=5, tile=16, crowd=4) == brute(rows)
+    assert run(spark, rows, least_frequent=5, tile=16, crowd=4, few=0) == brute(rows)
 
 
 def test_driver_rows(spark):

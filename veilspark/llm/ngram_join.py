@@ -74,12 +74,13 @@ class NgramJoin:
     broadcast table of frequent shingles; least_frequent: documents that make a shingle frequent;
     crowd: list length from which centres are tried first, in so many rounds; tile: main members of a family
     of lists in one task;
-    orders: global orders in all, at least 2.
+    orders: global orders in all, at least 2; few: bound of the ends of pairs that are broadcast.
     """
 
-    def __init__(self, spark: SparkSession, width: int = 5, t_num: int = 75, t_den: int = 100, most_frequent: int = 1 << 18, least_frequent: int = 64, crowd: int = 16, rounds: int = 2, tile: int = 128, orders: int = 3):
+    def __init__(self, spark: SparkSession, width: int = 5, t_num: int = 75, t_den: int = 100, most_frequent: int = 1 << 18, least_frequent: int = 64, crowd: int = 16, rounds: int = 2, tile: int = 128, orders: int = 3, few: int = 1 << 20):
         self.spark, self.scratch = spark, Scratch(spark)
         self.width, self.t_num, self.t_den = width, t_num, t_den
+        self.few = few
         self._repeats, self._rows = False, 0  # found in the run: whether rows repeat; about how many posting rows are left
         self.most_frequent, self.least_frequent, self.crowd, self.rounds, self.tile, self.orders = most_frequent, least_frequent, crowd, rounds, tile, orders
 
@@ -199,7 +200,7 @@ class NgramJoin:
         centres = crowd.groupBy("token").agg(F.max(F.struct(weight.alias("w"), "key", "n")).alias("c")).select("token", F.col("c.key").alias("a"), F.col("c.n").alias("an"))
         fit = f"least(n, an) * {self.t_den} >= greatest(n, an) * {self.t_num} and key <> a"
         open_rows = crowd.where("not linked").join(centres, "token").where(fit)
-        return open_rows.select("a", F.col("key").alias("b")).distinct()
+        return self.scratch.save(open_rows.select("a", F.col("key").alias("b")).distinct(), "stars", self._rows)
 
     def _unconnected(self, lists: DataFrame, linked: DataFrame) -> DataFrame:
         """(a, b): pairs of classes that aren't in one component yet and share enough lists.
@@ -356,52 +357,48 @@ class NgramJoin:
             known = known.dropDuplicates(["key"])
         return self.scratch.save(known, "sets")
 
+    def _meet(self, pairs: DataFrame, known: DataFrame, *fields: str) -> DataFrame:
+        """(a, b, key, fields) for both ends of each pair, the two rows side by side.
+
+        A pair is dealt by itself, so a centre of thousands of pairs is no hot key.  Where the ends are few they go to the sets
+        (24 bytes a row, ``few`` rows at most); else only sets that a Bloom filter of the ends lets through are dealt by key.
+        """
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
+        rows = known.select("key", *fields)
+        if 2 * pairs.count() <= self.few:
+            ends = F.broadcast(ends)
+        else:
+            bloom = self.spark.sparkContext.broadcast(bloom_of(ends.select("key").distinct(), "key"))
+
+            def wanted(batches):
+                for batch in batches:
+                    yield batch.filter(pa.array(in_bloom(bloom.value, _column(batch, "key"))))
+
+            rows = rows.mapInArrow(wanted, rows.schema)
+        return rows.join(ends, "key").select("a", "b", "key", *fields).repartition("a", "b").sortWithinPartitions("a", "b", "key")
+
     def _filtered(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """The pairs (a, b) that share enough prefix shingles under every further order."""
         t_num, t_den, orders = self.t_num, self.t_den, self.orders
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def work(batches):
-            for batch in batches:
-                n, m = (_column(batch, c).astype(np.int64) for c in ("n", "m"))
-                p, q = prefix_size(n, t_num, t_den), prefix_size(m, t_num, t_den)
-                least = np.maximum(1, _needed(n, m, t_num, t_den) - np.maximum(n - p, m - q))
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for r, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint32).reshape(orders - 1, -1) for v in (x, y))
-                    keep[r] = all(_common(u, v) >= least[r] for u, v in zip(x, y, strict=True))
-                keep = pa.array(keep)
-                yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
-
-        marks = known.select("key", "n", "signature")
-        both = pairs.join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        return self.scratch.save(both.mapInArrow(work, "a long, b long"), "filtered", self._rows)
+        def passes(n, x, m, y):
+            x, y = (np.frombuffer(v, dtype=np.uint32).reshape(orders - 1, -1) for v in (x, y))
+            least = max(1, _needed(n, m, t_num, t_den) - max(n - x.shape[1], m - y.shape[1]))
+            return all(_common(u, v) >= least for u, v in zip(x, y, strict=True))
+
+        met = self._meet(pairs, known, "n", "signature")
+        return self.scratch.save(met.mapInArrow(_two_by_two(passes), "a long, b long"), "filtered", self._rows)
 
     def _compare(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """The pairs (a, b) of class keys that link: those that all orders let pass, on whole sets."""
         t_num, t_den = self.t_num, self.t_den
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def linked(batches):
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                    shared = _common(x, y)
-                    keep.append(t_den * shared >= t_num * (len(x) + len(y) - shared))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
-
-        left = self._filtered(pairs, known)
-        bloom = self.spark.sparkContext.broadcast(bloom_of(left.select(F.col("a").alias("key")).union(left.select(F.col("b").alias("key"))).distinct(), "key"))
-
-        def wanted(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(in_bloom(bloom.value, _column(batch, "key"))))
+        def linked(n, x, m, y):
+            shared = _common(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64))
+            return t_den * shared >= t_num * (n + m - shared)
 
-        sets = known.select("key", "tokens").mapInArrow(wanted, "key long, tokens binary")
-        both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return self.scratch.save(both.mapInArrow(linked, "a long, b long"), "links", self._rows)
+        met = self._meet(self._filtered(pairs, known), known, "n", "tokens")
+        return self.scratch.save(met.mapInArrow(_two_by_two(linked), "a long, b long"), "links", self._rows)
 
     def _crowds(self, lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): links of centres of crowded lists."""
@@ -469,6 +466,30 @@ def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     return kept
 
 
+def _two_by_two(good):
+    """The pairs of (a, b, key, n, payload) rows, sorted by pair and key, of which ``good(n, payload, n, payload)`` holds."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches):
+        pair, first, done = None, None, False
+        for batch in batches:
+            a, b, key, n = (_column(batch, c) for c in ("a", "b", "key", "n"))
+            out_a, out_b = [], []
+            for r, payload in enumerate(batch.column(4)):
+                now = (int(a[r]), int(b[r]))
+                if now != pair:
+                    pair, first, done = now, (key[r], int(n[r]), payload.as_py()), False
+                elif not done and key[r] != first[0]:  # rows may repeat where ids do
+                    done = True
+                    if good(first[1], first[2], int(n[r]), payload.as_buffer()):
+                        out_a.append(now[0])
+                        out_b.append(now[1])
+            if out_a:
+                yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
+
+    return work
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     z = np.sort(np.concatenate((x, y)), kind="stable")
     return int((z[1:] == z[:-1]).sum())

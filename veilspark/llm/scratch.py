@@ -51,11 +51,11 @@ class Scratch:
         """Write and reread: cuts the lineage, and fixes what later steps see.
 
         The shuffle files of the write go as soon as it ends, not when the driver happens to collect its garbage.
-        ``rows``: about how many narrow rows there will be; they are packed into files of about ``each``, so that many
-        shuffle partitions don't become many small files.
+        ``rows``: about how many narrow rows there will be; tasks of the last stage are joined until each writes about ``each``,
+        so that many shuffle partitions don't become many small files.
         """
         if rows is not None:
-            df = df.repartition(1 + rows // each)
+            df = df.coalesce(1 + rows // each)
         where = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
