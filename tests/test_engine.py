@@ -20,7 +20,7 @@ TEXTS = [
     "Owner: Bay Holdings\n4120 Sycamore Boulevard\nPanama City, FL 32401",
     "😀 é jo@ab.de, Permit # A-12345; Parcel No. 44-1; PROJECT NO.: 21109-A",
     r"C:\Users\x\21109 plan.rvt" + "\nby Dawn Kirkland, AIA\nP.O. Box 12",
-    "Job CCR - 21109 and CCR\n21109 but CCR211090",
+    "Job QRX - 21109 and QRX\n21109 but QRX211090",
     "at 30.1588, -85.6602 or 30° 9' 12\" N",
     "", None, "nothing here \u0001 at all",
 ]
@@ -32,7 +32,7 @@ def docs(spark):
 
 
 def test_every_match_and_offset_agrees_with_a_plain_matcher(spark, docs):
-    pol = Policy(terms=("CCR-21109", "Bay Holdings"))
+    pol = Policy(terms=("QRX-21109", "Bay Holdings"))
     got = sorted((r.doc_id, r.category, r.start, r.end, r.match) for r in scan.scan(docs, policy=pol).collect())
     patterns = {**V.DIRECT_PATTERNS, "denylist": policy.denylist_pattern(pol.terms)}
     want = sorted((i, c, m.start(), m.end(), m[0]) for i, t in enumerate(TEXTS) if t for c, p in patterns.items() for m in re.finditer(p, t.replace("\u0001", " ")))
@@ -61,7 +61,7 @@ def test_denylist_is_never_ruled_out_and_context_is(spark):
 
 @pytest.mark.parametrize("text, why", [
     ("Treat plywood indicated on Drawings.", "prose:function_words"), ("City of Panama City, Florida", None), ("rTlfld ifiefti works", "garbage:internal_case_flip"), ("McDonald Company Works", None), ("© Firm Name", "glyph:©"),
-    ("CCR-21109", None), ("a b c d e f g h", "too_many_tokens:8"), ("one_._two words", "garbage:repeated_punctuation"), ("abc", "too_few_alnum_chars"),
+    ("QRX-21109", None), ("a b c d e f g h", "too_many_tokens:8"), ("one_._two words", "garbage:repeated_punctuation"), ("abc", "too_few_alnum_chars"),
 ])
 def test_proposal_rules(spark, text, why):
     assert spark.createDataFrame([(text,)], "t string").select(suppress.proposal_rejection(F.col("t"), Policy()).alias("r")).first().r == why
@@ -77,7 +77,7 @@ def test_text_functions(spark):
 
 
 def test_redaction_leaves_nothing_and_merges_overlaps(spark, docs):
-    engine = Engine(Policy(terms=("CCR-21109", "Bay Holdings")))
+    engine = Engine(Policy(terms=("QRX-21109", "Bay Holdings")))
     out = engine.redact(docs)
     assert engine.residuals(out).count() == 0
     rows = {r.doc_id: r.text for r in out.collect()}
@@ -88,8 +88,8 @@ def test_redaction_leaves_nothing_and_merges_overlaps(spark, docs):
     assert redact(text, found, mask="x").first().text == "01xxxxxx89xbc"
     assert {r.release_status for r in engine.report(docs, out).collect()} == {"AUTOMATED_PASS"}
     assert engine.run_status(engine.report(docs, out)).first().status == "REVIEW_REQUIRED"
-    assert independent.verify_texts(out, ("CCR-21109",), {"email": V.DIRECT_PATTERNS["email"]}).count() == 0
-    assert independent.verify_lines(docs, ("CCR-21109",)).first().spans == 2
+    assert independent.verify_texts(out, ("QRX-21109",), {"email": V.DIRECT_PATTERNS["email"]}).count() == 0
+    assert independent.verify_lines(docs, ("QRX-21109",)).first().spans == 2
 
 
 def test_independent_verifier_imports_nothing_of_the_engine():

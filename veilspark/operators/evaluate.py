@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy_values as V
 from ..functions import rects as R
 from ..policy import Policy, denylist_pattern, java
+from .spatial import overlapping
 from .suppress import proposal_rejection, suppression_reason
 
 MUST_SURVIVE = ("manufacturer", "boilerplate", "structural", "garbage", "hard_negative")
@@ -57,13 +58,17 @@ def satisfies(label: Column, category: Column) -> Column:
 def match_items(items: DataFrame, found: DataFrame) -> DataFrame:
     """items(doc_id, item_id, page from 0, rect, category) with the first finding that meets them by page, overlap and category.
 
-    found(doc_id, surface, ord, page from 1, rect, category); surface 0 (residuals) comes before 1 (model findings).
+    found(doc_id, surface, ord, page from 1 or an array of such pages, rect, category); surface 0 (residuals) comes before
+    1 (model findings).  A finding's category is spread over the labels that it can stand for, and rectangles over a
+    grid, so that only near ones of fitting kinds meet; the first is a minimum, combined before the shuffle.
     """
-    x = items.select("doc_id", "item_id", (F.col("page") + 1).alias("page"), F.col("rect").alias("__a"), F.col("category").alias("label"))
-    y = found.select("doc_id", "page", "surface", "ord", F.col("rect").alias("__b"), F.col("category").alias("found_category"))
-    both = x.join(y, ["doc_id", "page"]).where((R.iou(F.col("__a"), F.col("__b")) >= V.IOU_MATCH) & satisfies(F.col("label"), F.col("found_category")))
-    first = Window.partitionBy("doc_id", "item_id").orderBy("surface", "ord")
-    return both.withColumn("__k", F.row_number().over(first)).where("__k = 1").select("doc_id", "item_id", "surface", "ord", "found_category")
+    stands = F.create_map(*[v for k, labels in V.EQUIVALENT.items() for v in (F.lit(k), F.array(*map(F.lit, sorted(labels))))])
+    x = items.select("doc_id", "item_id", (F.col("page") + 1).cast("long").alias("page"), F.col("rect").alias("__a"), F.col("category").alias("label"))
+    pages = F.col("page") if found.schema["page"].dataType.simpleString().startswith("array") else F.array("page")
+    y = found.withColumn("page", F.explode(F.transform(F.array_distinct(pages), lambda p: p.cast("long"))))
+    y = y.select("doc_id", "page", "surface", "ord", F.col("rect").alias("__b"), F.col("category").alias("found_category"), F.explode(F.element_at(stands, F.col("category"))).alias("label"))
+    both = overlapping(x, y, ["doc_id", "page", "label"], "__a", "__b").where(R.iou(F.col("__a"), F.col("__b")) >= V.IOU_MATCH)
+    return both.groupBy("doc_id", "item_id").agg(F.min(F.struct("surface", "ord", "found_category")).alias("f")).select("doc_id", "item_id", "f.surface", "f.ord", "f.found_category")
 
 
 def missed(items: DataFrame, matched: DataFrame) -> DataFrame:

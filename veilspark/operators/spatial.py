@@ -9,6 +9,25 @@ from .. import policy_values as V
 from ..functions import rects as R
 
 
+def overlapping(x: DataFrame, y: DataFrame, key: list[str], a: str, b: str, cell: tuple[float, float] = (64.0, 16.0)) -> DataFrame:
+    """Pairs of rows of x and y with equal keys whose rectangles ``a`` and ``b`` overlap, each once.
+
+    Rectangles go to the grid cells that they touch; a pair counts in the cell that holds the upper left corner of its
+    overlap.  So a page of n rectangles costs the pairs that are near each other, not n squared, and a crowded page is many keys.
+    """
+    w, h = cell
+
+    def spots(df: DataFrame, rect: str) -> DataFrame:
+        r = f"{rect}."
+        span = [F.sequence(F.floor(F.col(r + lo) / s), F.floor(F.greatest(F.col(r + lo), F.col(r + hi)) / s)) for lo, hi, s in (("x0", "x1", w), ("y0", "y1", h))]
+        return df.withColumn("__gx", F.explode(span[0])).withColumn("__gy", F.explode(span[1]))
+
+    both = spots(x, a).join(spots(y, b), [*key, "__gx", "__gy"])
+    left, top = F.greatest(F.col(a)["x0"], F.col(b)["x0"]), F.greatest(F.col(a)["y0"], F.col(b)["y0"])
+    mine = (F.col("__gx") == F.floor(left / w)) & (F.col("__gy") == F.floor(top / h))
+    return both.where(mine & R.intersects(F.col(a), F.col(b), 0.0)).drop("__gx", "__gy")
+
+
 def region_rects(pages: DataFrame, regions: DataFrame) -> DataFrame:
     """Configured regions on the pages that they name; regions are a small configured list."""
     both = pages.join(F.broadcast(regions), F.col("all_pages") | F.array_contains("pages", F.col("page")))
@@ -18,7 +37,7 @@ def region_rects(pages: DataFrame, regions: DataFrame) -> DataFrame:
 def cells_crossed(matches: DataFrame, cells: DataFrame, key: tuple[str, ...] = ("doc_id", "page"), ident: str = "match_id") -> DataFrame:
     """(ident, cells): distinct table cells that the rectangles of one match overlap by more than a point; only fragile categories look."""
     x = matches.where(F.col("category").isin(*V.TABLE_FRAGILE)).select(*key, ident, F.col("rect").alias("__m"))
-    hit = x.join(cells.select(*key, "cell_id", F.col("rect").alias("__c")), list(key)).where(R.intersects(F.col("__m"), F.col("__c"), 1.0))
+    hit = overlapping(x, cells.select(*key, "cell_id", F.col("rect").alias("__c")), list(key), "__m", "__c").where(R.intersects(F.col("__m"), F.col("__c"), 1.0))
     counted = hit.groupBy(ident).agg(F.countDistinct("cell_id").alias("cells"))
     return matches.select(ident).distinct().join(counted, ident, "left").select(ident, F.coalesce("cells", F.lit(0)).alias("cells"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import policy_values as V
 from ..functions import rects as R
 from ..functions import text as T
-from ..operators import evaluate, labels, layout, propose, report, scan, spatial, suppress, triage, zones
+from ..operators import evaluate, labels, layout, propose, report, runs, scan, spatial, suppress, triage, zones
 from ..operators.redact import redact
 from ..policy import _FOLD_FROM, _FOLD_TO, Policy, fold
 from .engine import Engine
@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores where a small input has fewer splits than there are cores; larger inputs aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -39,7 +45,7 @@ def listed(values) -> str:
     return ", ".join(map(quoted, values))
 
 
-TERMS = ("CCR-21109", "Bay Holdings")
+TERMS = ("QRX-21109", "Bay Holdings")
 POLICY = Policy(terms=TERMS)
 
 # -- pattern scans ---------------------------------------------------------------------------
@@ -67,7 +73,7 @@ for _category, _source in _INPUTS.items():
 
 
 def _count_by_category(spark, sf_dir):
-    return scan.count_by_category(table(spark, sf_dir, "documents").repartition("doc_id"), "doc_id")
+    return scan.count_by_category(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 _union = " UNION ALL ".join(f"SELECT {quoted(c)} AS category, doc_id, len(regexp_extract_all(text, {quoted(_GUARDED.get(c, p))}, {2 if c in _GUARDED else 0})) AS n FROM documents" for c, p in V.DIRECT_PATTERNS.items())
@@ -90,7 +96,7 @@ add(
 add(
     "denylist_scan",
     lambda spark, d: scan.scan(view(spark, d, "v_deny"), categories=("denylist",), policy=POLICY).groupBy("id").agg(F.count("*").alias("matches"), F.min("match").alias("first_match")),
-    with_views("v_deny") + r"SELECT id, len(m)::BIGINT AS matches, m[1] AS first_match FROM (SELECT id, regexp_extract_all(text, '(?i)(^|[^A-Z0-9])(CCR[\s\-‐‑‒–—―−]*21109)([^A-Z0-9]|$)', 2) AS m FROM v_deny) WHERE len(m) > 0",
+    with_views("v_deny") + r"SELECT id, len(m)::BIGINT AS matches, m[1] AS first_match FROM (SELECT id, regexp_extract_all(text, '(?i)(^|[^A-Z0-9])(QRX[\s\-‐‑‒–—―−]*21109)([^A-Z0-9]|$)', 2) AS m FROM v_deny) WHERE len(m) > 0",
 )
 
 # -- labels ----------------------------------------------------------------------------------
@@ -396,17 +402,107 @@ add(
 )
 add(
     "redact_documents",
-    lambda spark, d: redact(docs := table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"), scan.scan(docs, categories=("email",)), mask="█").select("doc_id", F.sha2("text", 256).alias("digest")),
+    lambda spark, d: redact(docs := spread(table(spark, d, "documents").select("doc_id", "text")), scan.scan(docs, categories=("email",)), mask="█").select("doc_id", F.sha2("text", 256).alias("digest")),
 )
 add("engine_report", lambda spark, d: _engine_report(spark, d))
-add("engine_residuals", lambda spark, d: (e := Engine(POLICY)).residuals(e.sweep(e.redact(table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")))).select("doc_id", "category", "shape"), "SELECT doc_id, '' AS category, '' AS shape FROM documents WHERE false")
+
+
+def _residuals(spark, d):
+    """Everything but phone numbers is redacted: those are what a reader of the output still finds."""
+    docs, e = spread(table(spark, d, "documents").select("doc_id", "text")), Engine(POLICY)
+    out = redact(docs, e.matches(docs).where("rule is null and category <> 'phone'"))
+    return e.residuals(out).select("doc_id", "category", "shape")
+
+
+_marked = f"unnest(regexp_extract_all(text, {quoted(_GUARDED['phone'])}, 2)) AS m"
+add("engine_residuals", _residuals, f"SELECT doc_id, 'phone' AS category, regexp_replace(regexp_replace(regexp_replace(m, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM (SELECT doc_id, {_marked} FROM documents)")
+add("engine_sweep_leaves_nothing", lambda spark, d: (e := Engine(POLICY)).residuals(e.sweep(e.redact(spread(table(spark, d, "documents").select("doc_id", "text"))))).groupBy().agg(F.count("*").alias("residuals")), "SELECT 0::BIGINT AS residuals")
 
 
 def _engine_report(spark, d):
-    docs, e = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"), Engine(POLICY)
+    docs, e = spread(table(spark, d, "documents").select("doc_id", "text")), Engine(POLICY)
     return e.report(docs, e.redact(docs)).withColumns({"redactions": F.to_json("redactions"), "suppressed": F.to_json("suppressed")})
 
 
+# -- runs ----------------------------------------------------------------------------------------
+
+_page = "l_orderkey % 500 AS doc_id, l_linenumber AS page"
+
+
+def _reports(spark, d):
+    return table(spark, d, "orders").selectExpr("o_orderkey AS doc_id", "o_orderstatus AS release_status", "o_custkey % 40 AS pages", "o_custkey % 7 AS rendered")
+
+
+_reports_sql = "WITH r AS (SELECT o_orderkey AS doc_id, o_orderstatus AS release_status, o_custkey % 40 AS pages, o_custkey % 7 AS rendered FROM orders) "
+add("status_counts", lambda spark, d: runs.status_counts(_reports(spark, d)), _reports_sql + "SELECT release_status, count(*) AS documents FROM r GROUP BY 1")
+add("run_statistics", lambda spark, d: runs.run_statistics(_reports(spark, d)), _reports_sql + "SELECT count(*) AS documents, sum(pages)::BIGINT AS pages, sum(rendered)::BIGINT AS rendered FROM r")
+add(
+    "manifest_payload",
+    lambda spark, d: runs.manifest_payload(_reports(spark, d), "run").select("schema_version", "run_id", F.to_json("statistics").alias("statistics"), F.to_json("states").alias("states")),
+    _reports_sql + """SELECT 1 AS schema_version, 'run' AS run_id, (SELECT '{"documents":' || count(*) || ',"pages":' || sum(pages) || ',"rendered":' || sum(rendered) || '}' FROM r) AS statistics,
+        (SELECT '{' || string_agg('"' || release_status || '":' || n, ',' ORDER BY release_status) || '}' FROM (SELECT release_status, count(*) AS n FROM r GROUP BY 1)) AS states""",
+)
+add(
+    "report_payload",
+    lambda spark, d: runs.report_payload(_reports(spark, d), "run", "FAIL").select("schema_version", "run_id", "status", F.to_json("document").alias("document")),
+    _reports_sql + """SELECT 4 AS schema_version, 'run' AS run_id, 'FAIL' AS status, '{"doc_id":' || doc_id || ',"release_status":"' || release_status || '","pages":' || pages || ',"rendered":' || rendered || '}' AS document FROM r""",
+)
+add("residual_split", lambda spark, d: runs.residual_split(view(spark, d, "v_box")), with_views("v_box") + "SELECT doc_id, count(*) FILTER (category = 'denylist') AS denylist, count(*) FILTER (category <> 'denylist') AS direct FROM v_box GROUP BY 1")
+add(
+    "checks_pass",
+    lambda spark, d: runs.checks_pass(table(spark, d, "lineitem").selectExpr("l_orderkey AS doc_id", "concat('check ', l_linenumber) AS check", "if(l_partkey % 50 = 1, NULL, l_suppkey % 40 <> 1) AS ok")).select("doc_id", "passed", F.array_join("failed", "|").alias("failed")),
+    "SELECT l_orderkey AS doc_id, bool_and(ok) AS passed, coalesce(string_agg(DISTINCT c, '|' ORDER BY c) FILTER (NOT ok), '') AS failed FROM (SELECT l_orderkey, 'check ' || l_linenumber AS c, l_partkey % 50 <> 1 AND l_suppkey % 40 <> 1 AS ok FROM lineitem) GROUP BY 1",
+)
+add(
+    "page_mismatches",
+    lambda spark, d: runs.page_mismatches(*[table(spark, d, "orders").where(f"o_orderkey % {k} > 0").selectExpr("o_orderkey AS doc_id", "1 AS page", "612 AS width", f"if(o_orderkey % 11 = {k}, 700, 792) AS height") for k in (7, 9)]),
+    "SELECT o_orderkey AS doc_id, 1 AS page, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'added' ELSE 'size' END AS problem FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderkey % 9 = 0) AND (o_orderkey % 7 = 0 OR o_orderkey % 9 = 0 OR o_orderkey % 11 IN (7, 9))",
+)
+add(
+    "output_hashes",
+    lambda spark, d: runs.output_hashes(table(spark, d, "part").selectExpr("p_partkey AS doc_id"), table(spark, d, "part").where("p_size > 9").selectExpr("p_partkey AS doc_id", "p_brand AS output_sha256")),
+    "SELECT p_partkey AS doc_id, CASE WHEN p_size > 9 THEN p_brand END AS output_sha256, CASE WHEN p_size > 9 THEN NULL ELSE 'no output in the manifest: ' || p_partkey END AS error FROM part",
+)
+add(
+    "document_terms",
+    lambda spark, d: runs.document_terms(table(spark, d, "region").selectExpr("r_name AS term"), table(spark, d, "customer").selectExpr("c_custkey % 120 AS doc_id", "c_mktsegment AS term"), table(spark, d, "supplier").selectExpr("s_suppkey AS doc_id")),
+    "SELECT s_suppkey AS doc_id, r_name AS term FROM supplier, region UNION SELECT c_custkey % 120, c_mktsegment FROM customer WHERE c_custkey % 120 IN (SELECT s_suppkey FROM supplier)",
+)
+add("raster_pages", lambda spark, d: runs.raster_pages(*[table(spark, d, "lineitem").where(f"l_returnflag = '{f}'").selectExpr(*_page.split(", ")) for f in "AR"]), f"SELECT DISTINCT {_page} FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+add(
+    "finding_order",
+    lambda spark, d: runs.in_order(table(spark, d, "lineitem").groupBy(F.expr("l_suppkey % 20").alias("doc_id"), F.col("l_returnflag").alias("label"), F.expr("concat(if(l_partkey % 2 = 0, 'P', 'q'), l_partkey)").alias("form")).agg(F.count("*").alias("occurrences"))),
+    "SELECT doc_id, label, form, occurrences, row_number() OVER (PARTITION BY doc_id ORDER BY occurrences DESC, label, lower(form), form) AS rank FROM (SELECT l_suppkey % 20 AS doc_id, l_returnflag AS label, CASE l_partkey % 2 WHEN 0 THEN 'P' ELSE 'q' END || l_partkey AS form, count(*) AS occurrences FROM lineitem GROUP BY 1, 2, 3)",
+)
+add(
+    "merged_streams",
+    lambda spark, d: spatial.dedupe_half_points(runs.merged_streams(*[_boxes(spark, d).where(F.col("category") == c).withColumn("ord", F.col("id")) for c in ("street_address", "email", "denylist", "person name")]).withColumn("at", F.col("stream") * F.lit(10**15) + F.col("ord")), order="at").groupBy("category").agg(F.count("*").alias("redactions")),
+    with_views("v_box") + """, s AS (SELECT *, CASE category WHEN 'street_address' THEN 0 WHEN 'email' THEN 1 WHEN 'denylist' THEN 2 ELSE 3 END AS stream FROM v_box WHERE x1 > x0 AND y1 > y0)
+        SELECT category, count(*) AS redactions FROM (SELECT category FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, page, round_even(x0 * 2, 0), round_even(y0 * 2, 0), round_even(x1 * 2, 0), round_even(y1 * 2, 0) ORDER BY stream, id) = 1) GROUP BY 1""",
+)
+add(
+    "match_totals",
+    lambda spark, d: runs.match_totals(table(spark, d, "lineitem").selectExpr(*_page.split(", "), "if(l_returnflag = 'N', 'extracted', 'rendered') AS surface")),
+    f"SELECT doc_id, page, count(*) FILTER (f = 'N') AS extracted, count(*) FILTER (f <> 'N') AS rendered FROM (SELECT {_page}, l_returnflag AS f FROM lineitem) GROUP BY ROLLUP (doc_id, page) HAVING doc_id IS NOT NULL",
+)
+add(
+    "document_rows",
+    lambda spark, d: runs.document_rows(_items(spark, d)[0], evaluate.match_items(*_items(spark, d))).select("doc_id", "total", "missed", F.round("recall", 9).alias("recall")),
+    _items_sql + "SELECT i.doc_id, count(*) AS total, count(m.item_id) AS missed, round(1 - count(m.item_id) / count(*), 9) AS recall FROM i LEFT JOIN m ON i.doc_id = m.doc_id AND i.id = m.item_id GROUP BY 1",
+)
+add("finished_runs", lambda spark, d: runs.finished_runs(table(spark, d, "orders").selectExpr("o_orderkey AS name", "nullif(if(o_orderstatus = 'F', 'complete', o_orderstatus), 'P') AS review")).select("name"), "SELECT o_orderkey AS name FROM orders WHERE o_orderstatus = 'F'")
+add(
+    "until_failure",
+    lambda spark, d: runs.until_failure(table(spark, d, "orders").selectExpr("o_orderkey AS ord", "o_orderkey % 997 = 500 AS failed")).select("ord", "state"),
+    "SELECT o_orderkey AS ord, CASE WHEN o_orderkey < x THEN 'done' WHEN o_orderkey = x THEN 'FAIL' ELSE 'not_started' END AS state FROM orders, (SELECT min(o_orderkey) FILTER (o_orderkey % 997 = 500) AS x FROM orders)",
+)
+add(
+    "area_ratio",
+    lambda spark, d: runs.area_ratio(_boxes(spark, d), _boxes(spark, d).select("doc_id", "page").distinct().withColumn("rect", R.rect(*map(F.lit, (0.0, 0.0, 612.0, 792.0))))).select("doc_id", "page", F.round("ratio", 9).alias("ratio")),
+    with_views("v_box") + "SELECT doc_id, page, round(sum((x1 - x0) * (y1 - y0)) / (612.0::DOUBLE * 792), 9) AS ratio FROM v_box GROUP BY 1, 2",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches and documents of every identifier category; a row for each category, zeros included."""
     return _count_by_category(spark, sf_dir)
