@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from veilspark.llm.ngram_join import NgramJoin, keep_first, prefix_size
+from veilspark.llm.ngram_join import NgramJoin, keep_first, prefix_size, without_ids
 
 
 def brute(rows, width=5):
@@ -139,3 +139,13 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, "x" * 2_000_000), (4, " ".join(words[:100_000]))]
     got = run(spark, rows)
     assert [(d, c) for d, _, c in got] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_without_ids(spark):
+    docs = spark.createDataFrame([(i % 500 if i % 50 else None, f"t{i}") for i in range(1000)], "doc_id int, text string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "doc_id long")
+    want = sorted((r.doc_id or -1, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id % 3)
+    for few in (1000, 0):
+        out = without_ids(spark, docs.withColumn("more", docs.text), gone, few)
+        assert out.columns == ["doc_id", "text", "more"]
+        assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == want

@@ -458,14 +458,36 @@ def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """
     found = NgramJoin(spark, **options)
     named = found.scratch.save(found.result(docs), "components")
-    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = named.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = without_ids(spark, docs, found.scratch.save(gone, "gone", named.count()))
     if not named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         once = kept.where("doc_id is not null").withColumn("__th", F.xxhash64("text")).dropDuplicates(["doc_id", "__th"]).drop("__th")
         kept = once.unionByName(kept.where("doc_id is null"))
     return kept
 
 
+def without_ids(spark: SparkSession, docs: DataFrame, gone: DataFrame, few: int = 1 << 21) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone(doc_id)``; null ids stay.
+
+    The texts aren't shuffled: up to ``few`` ids (about 50 MB) are broadcast; of more, a Bloom filter picks the rows that have to meet them.
+    """
+    column, named = F.col("doc_id").cast("long"), gone.select(F.col("doc_id").alias("__gone"))
+    if gone.count() <= few:
+        return docs.join(F.broadcast(named), column == F.col("__gone"), "left_anti")
+    bloom = spark.sparkContext.broadcast(bloom_of(gone, "doc_id"))
+
+    def picked(want: bool):
+        def work(batches):
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+                hit = in_bloom(bloom.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == want))
+
+        return docs.mapInArrow(work, docs.schema)
+
+    return picked(False).unionAll(picked(True).join(named, column == F.col("__gone"), "left_anti"))
+
+
 def _two_by_two(good):
     """The pairs of (a, b, key, n, payload) rows, sorted by pair and key, of which ``good(n, payload, n, payload)`` holds."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
