@@ -16,7 +16,7 @@ def collapse(x: Column) -> Column:
 
 
 def strip(x: Column, chars: str) -> Column:
-    return F.btrim(x, F.lit(chars))
+    return F.btrim(x, F.lit(chars)) if chars else F.btrim(x)
 
 
 def normalized(x: Column) -> Column:
@@ -46,19 +46,19 @@ def fold(x: Column) -> Column:
     return F.lower(F.translate(x, _FOLD_FROM, _FOLD_TO))
 
 
-def defined_key(x: Column) -> Column:
-    key = fold(F.trim(strip(collapse(x), V.DEFINED_STRIP)))
+def defined_key(x: Column, chars: str = V.DEFINED_STRIP, affixes: tuple[str, ...] = V.DEFINED_AFFIXES) -> Column:
+    key = fold(F.trim(strip(collapse(x), chars)))
     out = key
-    for affix in reversed(V.DEFINED_AFFIXES):
+    for affix in reversed(affixes):
         affix = affix.translate(str.maketrans(_FOLD_FROM, _FOLD_TO)).lower()
         cut = F.left(key, F.length(key) - len(affix))
         out = F.when(key.endswith(affix) & (F.length(key) > len(affix) + 1), F.trim(strip(cut, " '\"-"))).otherwise(out)
     return out
 
 
-def allow_key(x: Column) -> Column:
-    key = F.trim(strip(collapse(x), V.ALLOW_STRIP))
-    for suffix in V.COMPANY_SUFFIXES:
+def allow_key(x: Column, chars: str = V.ALLOW_STRIP, suffixes: tuple[str, ...] = V.COMPANY_SUFFIXES) -> Column:
+    key = F.trim(strip(collapse(x), chars))
+    for suffix in suffixes:
         key = F.trim(F.regexp_replace(key, java(rf"(?i)[,\s]+{re.escape(suffix)}\.?$"), ""))
     return fold(key)
 

@@ -27,22 +27,32 @@ def is_firm(x: Column) -> Column:
     return x.rlike(java(V.FIRM)) & x.rlike(java(V.ORGANIZATION)) & (F.size(F.split(F.trim(x), java(r"\s+"))) <= 10)
 
 
-def following_values(lines: DataFrame, page: tuple[str, ...] = ("doc_id",), reach: float = 120.0, only_first: bool = False, scale: float = 1.0) -> DataFrame:
-    """(page, label_ord, value_ord, label, value): label-only lines with the aligned value lines below them.
+def is_map_label(x: Column) -> Column:
+    return x.rlike(java(V.MAP_LABEL))
 
-    lines(*page, ord, text, x0, y0, x1, y1). Labels are few: they are picked first, and the join is on the page with range
-    conditions. ``only_first`` keeps the nearest value of each label; ``scale`` is pixels a point.
+
+def following_values(lines: DataFrame, page: tuple[str, ...] = ("doc_id",), reach: float = 120.0, only_first: bool = False, scale: float = 1.0, value_wins: bool = False) -> DataFrame:
+    """(page, label_ord, value_ord, label, value, raw, x0, y0, x1, y1): label-only lines with the aligned value lines below them.
+
+    lines(*page, ord, text, x0, y0, x1, y1). A label's search ends at the first later line (by ``ord``) that begins more than
+    ``reach`` points under it, whatever comes after. That line is one minimum for each label; all joins share the page as key.
+    ``only_first`` keeps the nearest value of each label; ``scale`` is pixels a point; with ``value_wins`` a line that holds
+    its own value is no label for others.
     """
     text = normalized(F.col("text"))
-    labels = lines.where(is_label(text)).select(*page, F.col("ord").alias("label_ord"), text.alias("label"), *[F.col(k).alias("l" + k) for k in ("x0", "y0", "x1", "y1")])
+    alone = is_label(text) & (label_value(F.col("text")).isNull() if value_wins else F.lit(True))
+    labels = lines.where(alone).select(*page, F.col("ord").alias("label_ord"), text.alias("label"), *[F.col(k).alias("l" + k) for k in ("x0", "y0", "x1", "y1")])
     fits = redactable(text, True) & (F.size(F.split(text, java(r"\s+"))) <= 10) & ~is_label(text)
-    values = lines.where(fits).select(*page, F.col("ord").alias("value_ord"), text.alias("value"), "x0", "y0", "x1", "y1")
+    later = labels.select(*page, "label_ord", "ly1").join(lines.select(*page, "ord", "y0"), list(page)).where((F.col("ord") > F.col("label_ord")) & (F.col("y0") - F.col("ly1") > reach * scale))
+    ends = later.groupBy(*page, "label_ord").agg(F.min("ord").alias("__stop"))
+    values = lines.where(fits).select(*page, F.col("ord").alias("value_ord"), text.alias("value"), F.col("text").alias("raw"), "x0", "y0", "x1", "y1")
     width = F.greatest(F.lit(1.0), F.col("lx1") - F.col("lx0"))
     overlap = F.least("x1", "lx1") > F.greatest("x0", "lx0")
     if scale == 1.0:
         overlap &= F.least("y1", "ly1") > F.greatest("y0", "ly0")
     aligned = (F.abs(F.col("x0") - F.col("lx0")) <= F.greatest(F.lit(36.0 * scale), width * 0.5)) | overlap
-    out = labels.join(values, list(page)).where((F.col("value_ord") > F.col("label_ord")) & (F.col("y0") - F.col("ly1") <= reach * scale) & aligned)
+    reached = (F.col("value_ord") > F.col("label_ord")) & (F.col("__stop").isNull() | (F.col("value_ord") < F.col("__stop")))
+    out = labels.join(ends, [*page, "label_ord"], "left").join(values, list(page)).where(reached & aligned)
     if only_first:
         out = out.withColumn("k", F.row_number().over(Window.partitionBy(*page, "label_ord").orderBy("value_ord"))).where("k = 1")
-    return out.select(*page, "label_ord", "value_ord", "label", "value")
+    return out.select(*page, "label_ord", "value_ord", "label", "value", "raw", "x0", "y0", "x1", "y1")

@@ -73,3 +73,17 @@ def repeated_images(images: DataFrame, least: int = 3) -> DataFrame:
 def in_margin(rect: Column, width: Column, height: Column) -> Column:
     share = R.area(rect) / (width * height)
     return ((rect["y1"] <= 0.2 * height) | (rect["y0"] >= 0.8 * height) | (rect["x0"] >= 0.8 * width)) & share.between(1e-5, 0.06)
+
+
+def repeated_margin_images(images: DataFrame, pages: DataFrame, least: int = 3, crowd: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, page, image_id, rect) of images that recur in the margins, (doc_id, page) left out as too complex).
+
+    images(doc_id, page, image_id, rect), pages(doc_id, page, width, height). Pages of more than ``crowd`` images are for the
+    raster pass and come back by name; the same image at the same hundredth of a point counts once a page.
+    """
+    crowded = images.groupBy("doc_id", "page").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("doc_id", "page")
+    places = images.join(crowded, ["doc_id", "page"], "left_anti").where("image_id > 0")
+    near = [F.bround(F.col("rect")[k], 2).alias("__" + k) for k in R.SIDES]
+    places = places.select("*", *near).groupBy("doc_id", "page", "image_id", *["__" + k for k in R.SIDES]).agg(F.min("rect").alias("rect"))
+    kept = places.join(repeated_images(places, least), ["doc_id", "image_id"], "left_semi").join(pages, ["doc_id", "page"])
+    return kept.where(in_margin(F.col("rect"), F.col("width"), F.col("height"))).select("doc_id", "page", "image_id", "rect"), crowded

@@ -17,8 +17,11 @@ def _one_of(x: Column, values) -> Column:
 
 
 def first_phrase(folded: Column, phrases: tuple[str, ...]) -> Column:
-    """The first phrase that the folded text contains, in the list's order, or null."""
-    return F.get(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(folded, p)), F.lit(0)) if phrases else F.lit(None).cast("string")
+    """The first phrase that the folded text contains, in the list's order, or null; the text is folded once, not for each phrase."""
+    if not phrases:
+        return F.lit(None).cast("string")
+    known = F.array(*[F.lit(p) for p in phrases])
+    return F.get(F.transform(F.array(folded), lambda t: F.get(F.filter(known, lambda p: F.contains(t, p)), F.lit(0))), F.lit(0))
 
 
 def structural_name(x: Column, policy: Policy) -> Column:
@@ -29,7 +32,7 @@ def structural_name(x: Column, policy: Policy) -> Column:
 
 def suppression_reason(x: Column, policy: Policy) -> Column:
     x = F.trim(T.collapse(x))
-    defined, allowed = T.defined_key(x), T.allow_key(x)
+    defined, allowed = T.defined_key(x, policy.defined_strip, policy.defined_affixes), T.allow_key(x, policy.allow_strip, policy.allow_suffixes)
     return F.coalesce(
         F.when(x == "", F.lit("empty")),
         F.when(_one_of(defined, policy.defined), F.concat(F.lit("contract_defined_term:"), defined)),

@@ -40,6 +40,19 @@ class Engine:
         left = self.matches(redacted).where("rule is null")
         return left.select("doc_id", "category", "ord", "start", keyed_digest(self.run_key, F.col("match")).alias("digest"), masked_shape(F.col("match")).alias("shape"))
 
+    def remediate(self, redacted: DataFrame, mask: str | None = None) -> DataFrame:
+        """(doc_id, text, remediated, passed): what the output still holds is redacted once, then the output is scanned again.
+
+        ``remediated`` lists the categories that had to be patched; such a document fails however clean the second look is,
+        as does one that still holds something. There is no third look.
+        """
+        left = self.matches(redacted).where("rule is null")
+        patched = redact(redacted.select("doc_id", "text"), left, mask=mask)
+        again = self.matches(patched).where("rule is null").select("doc_id").distinct().withColumn("__left", F.lit(True))
+        names = left.groupBy("doc_id").agg(F.array_sort(F.collect_set("category")).alias("remediated"))
+        rows = patched.join(names, "doc_id", "left").join(again, "doc_id", "left")
+        return rows.select("doc_id", "text", F.coalesce("remediated", F.array().cast("array<string>")).alias("remediated"), (F.col("remediated").isNull() & F.col("__left").isNull()).alias("passed"))
+
     def report(self, docs: DataFrame, redacted: DataFrame) -> DataFrame:
         """(doc_id, redactions, suppressed, residuals, residuals_truncated, release_status), one row a document."""
         found = self.matches(docs)

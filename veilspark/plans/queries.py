@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .. import policy_values as V
 from ..functions import rects as R
 from ..functions import text as T
-from ..operators import evaluate, labels, layout, propose, report, runs, scan, spatial, suppress, triage, zones
+from ..operators import detections, evaluate, labels, layout, propose, report, runs, scan, spatial, suppress, triage, zones
 from ..operators.redact import redact
 from ..policy import _FOLD_FROM, _FOLD_TO, Policy, fold
+from ..verify import independent
 from .engine import Engine
 from .views import view, with_views
 
@@ -117,17 +118,21 @@ def _redactable_sql(x: str, short: bool) -> str:
     return f"(length({n}) BETWEEN {2 if short else 4} AND 180 AND len({t}) > 0" + ("" if short else f" AND (len({t}) <> 1 OR length({t}[1]) >= 7)") + f" AND regexp_matches({n}, '{'[a-zA-ZÀ-ÿ0-9]' if short else '[a-zA-ZÀ-ÿ]'}'))"
 
 
-_following_sql = with_views("v_page") + rf"""
-    , n AS (SELECT doc_id, ord, {_norm.format(x='text')} AS t, x0, y0, x1, y1 FROM v_page),
-    l AS (SELECT * FROM n WHERE regexp_matches(t, {quoted(_L)})),
-    v AS (SELECT * FROM n WHERE {_redactable_sql('t', True)} AND len(string_split_regex(t, '\s+')) <= 10 AND NOT regexp_matches(t, {quoted(_L)}))
-    SELECT l.doc_id, l.ord AS label_ord, v.ord AS value_ord, l.t AS label, v.t AS value FROM l JOIN v ON l.doc_id = v.doc_id AND v.ord > l.ord AND v.y0 - l.y1 <= 120
-    AND (abs(v.x0 - l.x0) <= greatest(36.0, greatest(1.0, l.x1 - l.x0) * 0.5) OR (least(v.x1, l.x1) > greatest(v.x0, l.x0) AND least(v.y1, l.y1) > greatest(v.y0, l.y0)))"""
-add("label_following", lambda spark, d: labels.following_values(view(spark, d, "v_page")), _following_sql)
+def _values_sql(source: str, reach: int) -> str:
+    """Pairs of a lone label and its values: all later lines of the page in order, up to the first that is too far down."""
+    return rf"""n AS (SELECT *, {_norm.format(x='text')} AS t FROM {source}),
+    p AS (SELECT l.doc_id, l.ord AS label_ord, v.ord AS value_ord, l.t AS label, v.t AS value, v.text AS raw, v.x0, v.y0, l.x0 AS lx0, l.x1 AS lx1, l.y0 AS ly0, l.y1 AS ly1, v.x1, v.y1, max(v.y0) OVER (PARTITION BY l.doc_id, l.ord ORDER BY v.ord) AS deepest
+        FROM n l JOIN n v ON l.doc_id = v.doc_id AND v.ord > l.ord WHERE regexp_matches(l.t, {quoted(_L)})),
+    w AS (SELECT * FROM p WHERE deepest - ly1 <= {reach} AND {_redactable_sql('value', True)} AND len(string_split_regex(value, '\s+')) <= 10 AND NOT regexp_matches(value, {quoted(_L)})
+        AND (abs(x0 - lx0) <= greatest(36.0, greatest(1.0, lx1 - lx0) * 0.5) OR (least(x1, lx1) > greatest(x0, lx0) AND least(y1, ly1) > greatest(y0, ly0))))"""
+
+
+_pair = ("doc_id", "label_ord", "value_ord", "label", "value")
+add("label_following", lambda spark, d: labels.following_values(view(spark, d, "v_page")).select(*_pair), with_views("v_page") + f", {_values_sql('v_page', 120)} SELECT {', '.join(_pair)} FROM w")
 add(
     "label_first_value",
-    lambda spark, d: labels.following_values(view(spark, d, "v_page"), reach=72.0, only_first=True),
-    _following_sql.replace("<= 120", "<= 72") + " QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.ord ORDER BY v.ord) = 1",
+    lambda spark, d: labels.following_values(view(spark, d, "v_page"), reach=72.0, only_first=True).select(*_pair),
+    with_views("v_page") + f", {_values_sql('v_page', 72)} SELECT {', '.join(_pair)} FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, label_ord ORDER BY value_ord) = 1",
 )
 add(
     "proposed_terms",
@@ -192,10 +197,11 @@ add(
     lambda spark, d: view(spark, d, "v_short").select("id", suppress.boilerplate_context(F.concat(F.lit("Sheet 3: "), "text", F.lit(" (typical unless noted)")), POLICY).alias("phrase")),
     with_views("v_short") + f"SELECT id, {_phrase_sql(_fold_sql.format(x=_collapse.format(x='concat(' + quoted('Sheet 3: ') + ', text, ' + quoted(' (typical unless noted)') + ')')), POLICY.boilerplate)} AS phrase FROM v_short",
 )
+_product_text = "'Basis of Design: ' || rpad('', 200, '. ') || text"
 add(
     "manufacturer_evidence",
-    lambda spark, d: view(spark, d, "v_addr").select("id", suppress.product_evidence(F.concat(F.lit("Basis of Design: "), "text"), F.lit(20), F.lit(30), POLICY).alias("evidence")),
-    with_views("v_addr") + f"SELECT id, {_phrase_sql(_fold_sql.format(x='substr(' + quoted('Basis of Design: ') + ' || text, 1, 150)'), POLICY.products)} AS evidence FROM v_addr",
+    lambda spark, d: view(spark, d, "v_addr").withColumn("at", F.expr("cast(20 + id % 180 AS int)")).select("id", suppress.product_evidence(F.expr(_product_text), F.col("at"), F.col("at") + 5, POLICY).alias("evidence")),
+    with_views("v_addr") + f"SELECT id, {_phrase_sql(_fold_sql.format(x='substr(x, greatest(0, spot - 120) + 1, spot + 125 - greatest(0, spot - 120))'), POLICY.products)} AS evidence FROM (SELECT id, 20 + id % 180 AS spot, {_product_text} AS x FROM v_addr)",
 )
 add("shape_rejection", lambda spark, d: view(spark, d, "v_short").select("id", suppress.proposal_rejection(F.concat("text", F.lit(" of the Harbor")), POLICY).alias("why")))
 _KEY = hashlib.sha256(b"a fixed test key").digest()
@@ -208,7 +214,7 @@ add(
 add("derive_doc_id", lambda spark, d: table(spark, d, "pages").select("page_id", T.doc_id_of(F.col("url")).alias("name")), "SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '_') AS name FROM pages")
 add("plain_guess", lambda spark, d: view(spark, d, "v_box").groupBy(triage.plain_guess(F.col("category")).alias("guess")).agg(F.count("*").alias("n")), with_views("v_box") + f"SELECT CASE category {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in triage.PLAIN_GUESS.items())} ELSE 'flagged item' END AS guess, count(*) AS n FROM v_box GROUP BY 1")
 _digest_line = "coalesce(list_extract(string_split(left(text, {s}), chr(10)), -1), '') || substr(text, {s} + 1, 5) || coalesce(list_extract(string_split(substr(text, {s} + 6), chr(10)), 1), '')"
-add("containing_line", lambda spark, d: table(spark, d, "documents").where("length(text) > 60").select("doc_id", T.containing_line(F.col("text"), F.lit(40), F.lit(45)).alias("line")), f"SELECT doc_id, {_digest_line.format(s=40)} AS line FROM documents WHERE length(text) > 60")
+add("containing_line", lambda spark, d: table(spark, d, "documents").select("doc_id", T.containing_line(F.col("text"), F.lit(40), F.lit(45)).alias("line")), f"SELECT doc_id, {_digest_line.format(s=40)} AS line FROM documents")
 
 # -- layout ------------------------------------------------------------------------------------
 
@@ -288,8 +294,8 @@ add(
 
 def _nearest_query(spark, d):
     boxes = _boxes(spark, d)
-    marks = boxes.where("id % 37 = 0").select("doc_id", "page", F.col("id").alias("label_id"), "rect")
-    images = boxes.where("id % 11 = 0").select("doc_id", "page", F.col("id").alias("image_id"), "rect")
+    marks = boxes.where("category = 'email'").select("doc_id", "page", F.col("id").alias("label_id"), "rect")
+    images = boxes.where("category <> 'email'").select("doc_id", "page", F.col("id").alias("image_id"), "rect")
     pages = boxes.select("doc_id", "page").distinct().withColumn("rect", R.rect(F.lit(0), F.lit(0), F.lit(60), F.lit(160)))
     return spatial.nearest_images(marks, images, pages).select("doc_id", "page", "label_id", "rect.x0", "rect.y0", "rect.x1", "rect.y1")
 
@@ -298,7 +304,7 @@ add(
     "nearest_image",
     _nearest_query,
     with_views("v_box")
-    + """, l AS (SELECT * FROM v_box WHERE id % 37 = 0), i AS (SELECT * FROM v_box WHERE id % 11 = 0),
+    + """, l AS (SELECT * FROM v_box WHERE category = 'email'), i AS (SELECT * FROM v_box WHERE category <> 'email'),
     u AS (SELECT l.doc_id, l.page, l.id AS label_id, i.id AS image_id, l.x0 AS lx0, l.y0 AS ly0, l.x1 AS lx1, l.y1 AS ly1, least(l.x0, i.x0) AS x0, least(l.y0, i.y0) AS y0, greatest(l.x1, i.x1) AS x1, greatest(l.y1, i.y1) AS y1 FROM l LEFT JOIN i ON l.doc_id = i.doc_id AND l.page = i.page),
     k AS (SELECT *, CASE WHEN image_id IS NOT NULL AND (x1 - x0) * (y1 - y0) <= 60 * 160 * 0.45 THEN (x1 - x0) * (y1 - y0) END AS a FROM u),
     f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, page, label_id ORDER BY a NULLS LAST, image_id) = 1)
@@ -333,8 +339,8 @@ add("leak_semi", lambda spark, d: evaluate.missed(_items(spark, d)[0], evaluate.
 add("hit_anti", lambda spark, d: evaluate.hit(_items(spark, d)[0], evaluate.match_items(*_items(spark, d))).select("doc_id", "item_id"), _items_sql + "SELECT doc_id, id AS item_id FROM i ANTI JOIN m ON i.doc_id = m.doc_id AND i.id = m.item_id")
 add(
     "over_redaction",
-    lambda spark, d: evaluate.over_redacted(_items(spark, d)[0], report.page_categories(_items(spark, d)[1].where("ord % 7 = 0"))).select("doc_id", "item_id"),
-    _items_sql + "SELECT DISTINCT i.doc_id, i.id AS item_id FROM i JOIN f ON f.id % 7 = 0 AND i.doc_id = f.doc_id AND i.page = f.page AND ((f.category = 'email' AND label = 'contact') OR (f.category = 'street_address' AND label = 'address') OR f.category = 'denylist' OR (f.category = 'person name' AND label = 'person'))",
+    lambda spark, d: evaluate.over_redacted(_items(spark, d)[0], report.page_categories(_items(spark, d)[1])).select("doc_id", "item_id"),
+    _items_sql + "SELECT DISTINCT i.doc_id, i.id AS item_id FROM i JOIN f ON i.doc_id = f.doc_id AND i.page = f.page AND ((f.category = 'email' AND label = 'contact') OR (f.category = 'street_address' AND label = 'address') OR f.category = 'denylist' OR (f.category = 'person name' AND label = 'person'))",
 )
 
 # -- counts, caps and states -------------------------------------------------------------------
@@ -503,6 +509,75 @@ add(
 )
 
 
+# -- detections with rectangles --------------------------------------------------------------------
+
+_EMAIL, _URL = (V.DIRECT_PATTERNS[c] for c in ("email", "url"))
+
+
+def _plan_lines(spark, d):
+    return view(spark, d, "v_plan").withColumn("words", F.array().cast("array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"))
+
+
+add(
+    "line_detections",
+    lambda spark, d: detections.line_detections(_plan_lines(spark, d), Policy(terms=("Maren",))).select("doc_id", "category", "detector", "text", "rect.x0", "rect.y0"),
+    with_views("v_plan")
+    + f""", {_values_sql('v_plan', 120)}
+    SELECT doc_id, 'email' AS category, 'pattern' AS detector, unnest(regexp_extract_all(text, {quoted(_EMAIL)})) AS text, x0, y0 FROM v_plan UNION ALL SELECT doc_id, 'url', 'pattern', unnest(regexp_extract_all(text, {quoted(_URL)})), x0, y0 FROM v_plan
+    UNION ALL SELECT doc_id, 'denylist', 'denylist', 'Maren', x0, y0 FROM v_plan WHERE contains(text, 'Maren')
+    UNION ALL SELECT doc_id, 'labelled_identifier', 'label', regexp_extract(text, {quoted(_LV)}, 1), x0, y0 FROM v_plan WHERE regexp_matches(text, {quoted(_LV)})
+    UNION ALL SELECT doc_id, 'labelled_identifier', 'label', raw, x0, y0 FROM w""",
+)
+add(
+    "ocr_detections",
+    lambda spark, d: detections.ocr_detections(view(spark, d, "v_ocr"), POLICY, 2.0).groupBy("doc_id", "category", "text", "rect.x0", "rect.y0", "rect.x1", "rect.y1").agg(F.count("*").alias("n")),
+    with_views("v_ocr") + """, m AS (SELECT * FROM v_ocr WHERE contains(text, '@')), c AS (SELECT *, 'email' AS category, text AS t FROM m UNION ALL SELECT *, 'url', 'example.com' FROM m)
+    SELECT doc_id, category, t AS text, "left" / 2.0::DOUBLE AS x0, top / 2.0::DOUBLE AS y0, ("left" + 80) / 2.0::DOUBLE AS x1, (top + 10) / 2.0::DOUBLE AS y1, count(*) AS n FROM c GROUP BY ALL""",
+)
+add(
+    "map_labels",
+    lambda spark, d: detections.map_labels(view(spark, d, "v_map")).select("doc_id", "page", "label_id"),
+    with_views("v_map") + rf"SELECT doc_id, page, ord AS label_id FROM v_map WHERE regexp_matches(text, '(?i)\b(vicinity|location|site|area)\s+map\b')",
+)
+
+
+def _margin_images(spark, d):
+    images = table(spark, d, "lineitem").selectExpr("l_partkey % 97 AS doc_id", "l_suppkey AS image_id", "l_linenumber AS page", "named_struct('x0', l_linenumber * 100D, 'y0', l_linenumber * 100D, 'x1', l_linenumber * 100D + 60, 'y1', l_linenumber * 100D + 40) AS rect")
+    pages = images.select("doc_id", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    return spatial.repeated_margin_images(images, pages, crowd=90)[0].select("doc_id", "page", "image_id")
+
+
+add(
+    "repeated_margin_images",
+    _margin_images,
+    """WITH i AS (SELECT l_partkey % 97 AS doc_id, l_suppkey AS image_id, l_linenumber AS page FROM lineitem), k AS (SELECT DISTINCT * FROM i WHERE image_id > 0 AND (doc_id, page) NOT IN (SELECT (doc_id, page) FROM i GROUP BY doc_id, page HAVING count(*) > 90))
+    SELECT doc_id, page, image_id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, image_id) AS n FROM k) WHERE n >= 3 AND (page * 100 + 40 <= 0.2 * 792 OR page * 100 >= 0.8 * 792 OR page * 100 >= 0.8 * 612)""",
+)
+RULES = independent.Rules({"email": _EMAIL, "url": _URL}, labels.LABEL, labels.LABEL_VALUE, V.FEET_INCHES, terms=("Maren",))
+add(
+    "independent_lines",
+    lambda spark, d: independent.scan_lines(view(spark, d, "v_plan").withColumn("grp", F.col("block")), RULES),
+    with_views("v_plan")
+    + f""", l AS (SELECT * FROM v_plan WHERE regexp_matches(text, {quoted(_L)})), v AS (SELECT * FROM v_plan WHERE NOT regexp_matches(text, {quoted(_L)})),
+    h AS (SELECT doc_id, page, 'email' AS category, unnest(regexp_extract_all(text, {quoted(_EMAIL)})) FROM v_plan UNION ALL SELECT doc_id, page, 'url', unnest(regexp_extract_all(text, {quoted(_URL)})) FROM v_plan
+        UNION ALL SELECT doc_id, page, 'labelled_identifier', '' FROM v_plan WHERE regexp_matches(text, {quoted(_LV)})
+        UNION ALL SELECT doc_id, page, 'labelled_identifier', '' FROM l WHERE EXISTS (SELECT 1 FROM v WHERE v.doc_id = l.doc_id AND v.ord > l.ord AND v.y0 - l.y1 <= 72)
+        UNION ALL SELECT doc_id, page, 'denylist', '' FROM v_plan WHERE contains(text, 'Maren')
+        UNION ALL SELECT doc_id, page, 'denylist', '' FROM v_plan GROUP BY doc_id, page, block HAVING count(*) > 1 AND count(*) FILTER (contains(text, 'Maren')) > 0)
+    SELECT doc_id, page, category, count(*) AS hits FROM h GROUP BY ALL""",
+)
+
+
+def _remediation(spark, d):
+    docs, e = spread(table(spark, d, "documents").select("doc_id", "text")), Engine(POLICY)
+    out = redact(docs, e.matches(docs).where("rule is null and category <> 'phone'"))
+    return e.remediate(out).select("doc_id", F.array_join("remediated", ",").alias("remediated"), "passed")
+
+
+_phones = f"coalesce(regexp_matches(text, {quoted(_GUARDED['phone'])}), false)"
+add("remediation", _remediation, f"SELECT doc_id, CASE WHEN {_phones} THEN 'phone' ELSE '' END AS remediated, NOT {_phones} AS passed FROM documents")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches and documents of every identifier category; a row for each category, zeros included."""
     return _count_by_category(spark, sf_dir)

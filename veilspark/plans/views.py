@@ -24,6 +24,9 @@ VIEWS = {
     "v_page": ("orders", "o_custkey % 400 AS doc_id", "o_orderkey AS ord", "CASE o_orderkey % 5 WHEN 0 THEN 'OWNER:' WHEN 1 THEN concat('Harbor ', o_custkey, ' Holdings LLC') WHEN 2 THEN 'DRAWN BY' ELSE concat('General text ', o_orderkey) END AS text", "cast(o_custkey % 3 * 30 AS double) AS x0", "cast(o_orderkey % 5000 AS double) AS y0", "cast(o_custkey % 3 * 30 + 90 AS double) AS x1", "cast(o_orderkey % 5000 + 12 AS double) AS y1"),
     "v_spec": ("orders", "o_custkey % 25 AS doc_id", "o_orderkey % 40 AS page", "o_orderkey AS line", "CASE o_orderkey % 9 WHEN 0 THEN concat('SECTION ', CASE o_custkey % 3 WHEN 0 THEN '00 11 13' WHEN 1 THEN '32 13 13' ELSE '096500' END, ' - TITLE') WHEN 4 THEN 'PART 2 - PRODUCTS' WHEN 6 THEN 'PART 3 EXECUTION' ELSE concat('text ', o_orderkey) END AS text"),
     "v_box": ("lineitem", "(l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey * 7 + l_suppkey AS id", "cast(floor(l_orderkey / 400) AS bigint) AS doc_id", "l_linenumber AS page", "cast(l_quantity AS double) AS x0", "cast(l_linenumber * 20 AS double) AS y0", "cast(l_quantity + 8 AS double) AS x1", "cast(l_linenumber * 20 + l_quantity / 4 AS double) AS y1", "CASE l_suppkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'street_address' WHEN 2 THEN 'denylist' ELSE 'person name' END AS category"),
+    "v_plan": ("orders", "cast(floor(o_orderkey / 400) AS bigint) AS doc_id", "1 AS page", "cast(floor(o_orderkey / 8) AS bigint) AS block", "o_orderkey AS line", "o_orderkey AS ord", "CASE o_orderkey % 5 WHEN 0 THEN 'OWNER:' WHEN 1 THEN concat('Harbor ', o_custkey, ' Holdings LLC') WHEN 2 THEN concat('Write to user', o_orderkey, '@example.com') WHEN 3 THEN concat('Drawn by: Maren ', o_custkey) ELSE concat('General text ', o_orderkey) END AS text", "cast(o_custkey % 3 * 30 AS double) AS x0", "cast(o_orderkey % 400 * 20 AS double) AS y0", "cast(o_custkey % 3 * 30 + 90 AS double) AS x1", "cast(o_orderkey % 400 * 20 + 12 AS double) AS y1"),
+    "v_ocr": ("lineitem", "cast(floor(l_orderkey / 400) AS bigint) AS doc_id", "1 AS page", "l_orderkey AS block", "1 AS par", "1 AS line", "CASE l_linenumber % 3 WHEN 0 THEN 'mail' WHEN 1 THEN concat('user', l_partkey, '@example.com') ELSE 'note' END AS text", "l_linenumber * 100 AS left", "l_orderkey % 400 * 30 AS top", "80 AS width", "10 AS height"),
+    "v_map": ("part", "p_partkey % 50 AS doc_id", "1 AS page", "p_partkey AS ord", "CASE p_partkey % 4 WHEN 0 THEN 'Vicinity  Map' WHEN 1 THEN concat('SITE MAP ', p_size) WHEN 2 THEN 'sitemap' ELSE 'Area plan' END AS text", "1.0 AS x0", "2.0 AS y0", "3.0 AS x1", "4.0 AS y1"),
     # pages of a few hundred words each, however large the table
     "v_word": ("lineitem", "cast(floor(l_orderkey / 400) AS bigint) AS doc_id", "l_linenumber AS page", "cast((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey * 7 + l_suppkey AS varchar(20)) AS text", "cast(l_quantity * 10 AS double) AS x", "cast(l_linenumber * 20 AS double) AS y", "cast(30 AS double) AS w", "cast(10 AS double) AS h"),
 }

@@ -30,17 +30,17 @@ def _trim(text: str, chars: str) -> str:
     return re.sub(r"\s+", " ", text).strip(chars or None).strip()
 
 
-def defined_key(text: str) -> str:
+def defined_key(text: str, strip: str = V.DEFINED_STRIP, affixes: Iterable[str] = V.DEFINED_AFFIXES) -> str:
     """Key of a term: trimmed and folded, without the first ending that fits."""
-    key = fold(_trim(text, V.DEFINED_STRIP))
-    ending = next((fold(a) for a in V.DEFINED_AFFIXES if key.endswith(fold(a)) and len(key) > len(fold(a)) + 1), "")
+    key = fold(_trim(text, strip))
+    ending = next((fold(a) for a in affixes if key.endswith(fold(a)) and len(key) > len(fold(a)) + 1), "")
     return key[: -len(ending)].strip(" '\"-").strip() if ending else key
 
 
-def allow_key(text: str) -> str:
+def allow_key(text: str, strip: str = V.ALLOW_STRIP, suffixes: Iterable[str] = V.COMPANY_SUFFIXES) -> str:
     """Key of a name: trimmed and folded, without company suffixes."""
-    key = _trim(text, V.ALLOW_STRIP)
-    for suffix in V.COMPANY_SUFFIXES:
+    key = _trim(text, strip)
+    for suffix in suffixes:
         key = re.sub(rf"(?i)[,\s]+{re.escape(suffix)}\.?$", "", key).strip()
     return fold(key)
 
@@ -74,6 +74,10 @@ class Policy:
     boilerplate: tuple[str, ...] = tuple(fold(p) for p in V.BOILERPLATE)
     structural: tuple[tuple[str, str], ...] = V.STRUCTURAL
     products: tuple[str, ...] = tuple(fold(p) for p in V.PRODUCT_PHRASES)
+    defined_strip: str = V.DEFINED_STRIP
+    defined_affixes: tuple[str, ...] = V.DEFINED_AFFIXES
+    allow_strip: str = V.ALLOW_STRIP
+    allow_suffixes: tuple[str, ...] = V.COMPANY_SUFFIXES
     most_residuals: int = 200
     most_forms: int = 500
     forms_by_label: tuple[tuple[str, int], ...] = ()

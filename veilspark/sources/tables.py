@@ -57,6 +57,29 @@ def label_violations(labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", broken.alias("b")).where("b is not null").groupBy("doc_id").agg(F.min("b").alias("b")).select("doc_id", "b.message")
 
 
+def write_labels(spark: SparkSession, labels: DataFrame, root: str, name: str = "labels") -> str:
+    """Write a label export as JSON lines once all rules hold; an earlier export of that name is replaced as a whole.
+
+    Raises ValueError, and leaves the earlier export as it was, if any document breaks a rule.
+    """
+    broken = label_violations(labels).limit(5).collect()
+    if broken:
+        raise ValueError("; ".join(f"{r.doc_id}: {r.message}" for r in broken))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    staging, final = path(f"{root}/.staging-{name}"), path(f"{root}/{name}")
+    labels.write.mode("overwrite").json(staging.toString())
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = path(f"{root}/.replaced-{name}")
+    fs.delete(old, True)
+    had = fs.exists(final) and fs.rename(final, old)
+    if not fs.rename(staging, final):
+        if had:
+            fs.rename(old, final)
+        raise OSError(f"cannot publish {final.toString()}")
+    fs.delete(old, True)
+    return final.toString()
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str) -> str:
     """Write a run's tables to a hidden staging folder, then make them visible by one rename; an existing run is never replaced."""
     path = spark._jvm.org.apache.hadoop.fs.Path
