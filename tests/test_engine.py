@@ -159,3 +159,12 @@ def test_evaluation_and_review(spark):
     rows = [("f", "safe", "n", "h", 1), ("f", "duplicate", "n", "h", 2), ("g", "odd", "n", "h", 3), ("h", "safe", "n", None, 3)]
     last = triage.latest_decisions(spark.createDataFrame(rows, "finding_id string, disposition string, note string, output_sha256 string, decided_at long"))
     assert [(r.finding_id, r.disposition) for r in last.collect()] == [("f", "duplicate")]
+
+
+def test_report_looks_twice_at_each_text_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "aa@example.com and bb@example.com"), (2, "mail copyright@aia.org"), (3, None)], "doc_id long, text string")
+    engine = Engine(Policy())
+    report = engine.report(docs)
+    assert {r.doc_id: (r.redactions, r.suppressed, r.residuals, r.release_status) for r in report.collect()} == {r.doc_id: (r.redactions, r.suppressed, r.residuals, r.release_status) for r in engine.report(docs, engine.redact(docs)).collect()}
+    assert {r.doc_id: (r.redactions, r.suppressed) for r in report.collect()}[1] == ({"email": 2, "url": 2}, None)
+    assert "Exchange" not in report._jdf.queryExecution().executedPlan().toString()

@@ -11,6 +11,11 @@ from .. import policy_values as V
 from ..policy import _FOLD_FROM, _FOLD_TO, java
 
 
+def let(x: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is named; big expressions are run as trees, not as one huge method that the JVM won't compile."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def collapse(x: Column) -> Column:
     return F.regexp_replace(x, java(r"\s+"), " ")
 
@@ -47,20 +52,25 @@ def fold(x: Column) -> Column:
 
 
 def defined_key(x: Column, chars: str = V.DEFINED_STRIP, affixes: tuple[str, ...] = V.DEFINED_AFFIXES) -> Column:
-    key = fold(F.trim(strip(collapse(x), chars)))
-    out = key
-    for affix in reversed(affixes):
-        affix = affix.translate(str.maketrans(_FOLD_FROM, _FOLD_TO)).lower()
-        cut = F.left(key, F.length(key) - len(affix))
-        out = F.when(key.endswith(affix) & (F.length(key) > len(affix) + 1), F.trim(strip(cut, " '\"-"))).otherwise(out)
-    return out
+    def cut(key: Column) -> Column:
+        out = key
+        for affix in reversed(affixes):
+            affix = affix.translate(str.maketrans(_FOLD_FROM, _FOLD_TO)).lower()
+            short = F.left(key, F.length(key) - len(affix))
+            out = F.when(key.endswith(affix) & (F.length(key) > len(affix) + 1), F.trim(strip(short, " '\"-"))).otherwise(out)
+        return out
+
+    return let(fold(F.trim(strip(collapse(x), chars))), cut)
 
 
 def allow_key(x: Column, chars: str = V.ALLOW_STRIP, suffixes: tuple[str, ...] = V.COMPANY_SUFFIXES) -> Column:
-    key = F.trim(strip(collapse(x), chars))
-    for suffix in suffixes:
-        key = F.trim(F.regexp_replace(key, java(rf"(?i)[,\s]+{re.escape(suffix)}\.?$"), ""))
-    return fold(key)
+    def cut(key: Column) -> Column:
+        out = key
+        for suffix in suffixes:
+            out = F.trim(F.regexp_replace(out, java(rf"(?i)[,\s]+{re.escape(suffix)}\.?$"), ""))
+        return F.when(key.rlike(java(rf"(?i)[,\s]+(?:{'|'.join(map(re.escape, suffixes))})\.?$")), out).otherwise(key) if suffixes else out
+
+    return fold(let(F.trim(strip(collapse(x), chars)), cut))
 
 
 def keyed_digest(key: bytes, x: Column) -> Column:

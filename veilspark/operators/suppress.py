@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +27,31 @@ def first_phrase(folded: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def structural_name(x: Column, policy: Policy) -> Column:
-    bare = T.strip(x, _BARE)
-    rules = [F.when(x.rlike(r := java(rf"(?i)\A(?:{p})\z")) | ((bare != "") & bare.rlike(r)), F.lit(name)) for name, p in policy.structural]
-    return F.coalesce(*rules) if rules else F.lit(None).cast("string")
+    """The first rule that is the whole value or the whole bare value; one test of all rules goes first, as most values are none."""
+    if not policy.structural:
+        return F.lit(None).cast("string")
+    plain = not any(re.search(r"\\[1-9k]|\(\?(?:<[A-Za-z]|[a-zA-Z])", p) for _, p in policy.structural)  # else they can't share one pattern
+    every = java(rf"(?i)\A(?:{'|'.join(f'(?:{p})' for _, p in policy.structural)})\z")
+
+    def named(x: Column, bare: Column) -> Column:
+        rules = [F.when(x.rlike(r := java(rf"(?i)\A(?:{p})\z")) | ((bare != "") & bare.rlike(r)), F.lit(name)) for name, p in policy.structural]
+        return F.when(x.rlike(every) | ((bare != "") & bare.rlike(every)), F.coalesce(*rules)) if plain else F.coalesce(*rules)
+
+    return T.let(x, lambda x: T.let(T.strip(x, _BARE), lambda bare: named(x, bare)))
 
 
 def suppression_reason(x: Column, policy: Policy) -> Column:
-    x = F.trim(T.collapse(x))
-    defined, allowed = T.defined_key(x, policy.defined_strip, policy.defined_affixes), T.allow_key(x, policy.allow_strip, policy.allow_suffixes)
-    return F.coalesce(
-        F.when(x == "", F.lit("empty")),
-        F.when(_one_of(defined, policy.defined), F.concat(F.lit("contract_defined_term:"), defined)),
-        F.when(_one_of(allowed, policy.allowed), F.concat(F.lit("shared_allowlist:"), allowed)),
-        F.concat(F.lit("structural:"), structural_name(x, policy)),
-        F.concat(F.lit("boilerplate:"), first_phrase(T.fold(x), policy.boilerplate)),
-    )
+    def first(x: Column) -> Column:
+        defined, allowed = T.defined_key(x, policy.defined_strip, policy.defined_affixes), T.allow_key(x, policy.allow_strip, policy.allow_suffixes)
+        return F.coalesce(
+            F.when(x == "", F.lit("empty")),
+            T.let(defined, lambda d: F.when(_one_of(d, policy.defined), F.concat(F.lit("contract_defined_term:"), d))),
+            T.let(allowed, lambda a: F.when(_one_of(a, policy.allowed), F.concat(F.lit("shared_allowlist:"), a))),
+            F.concat(F.lit("structural:"), structural_name(x, policy)),
+            F.concat(F.lit("boilerplate:"), first_phrase(T.fold(x), policy.boilerplate)),
+        )
+
+    return T.let(F.trim(T.collapse(x)), first)
 
 
 def boilerplate_context(x: Column, policy: Policy) -> Column:
@@ -96,6 +108,9 @@ def shape_rejection(x: Column) -> Column:
 
 def proposal_rejection(x: Column, policy: Policy) -> Column:
     """Why a phrase mustn't become a denylist term; null if it may."""
-    x = F.trim(T.collapse(x))
-    glyphs = [F.when(F.contains(x, F.lit(g)), F.lit(f"glyph:{g}")) for g in V.REJECTED_GLYPHS]
-    return F.coalesce(F.when(x == "", F.lit("empty")), *glyphs, F.when(~identifier_shaped(x), shape_rejection(x)), suppression_reason(x, policy))
+
+    def first(x: Column) -> Column:
+        glyphs = [F.when(F.contains(x, F.lit(g)), F.lit(f"glyph:{g}")) for g in V.REJECTED_GLYPHS]
+        return F.coalesce(F.when(x == "", F.lit("empty")), *glyphs, F.when(~identifier_shaped(x), shape_rejection(x)), suppression_reason(x, policy))
+
+    return T.let(F.trim(T.collapse(x)), first)
