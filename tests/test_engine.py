@@ -161,6 +161,15 @@ def test_evaluation_and_review(spark):
     assert [(r.finding_id, r.disposition) for r in last.collect()] == [("f", "duplicate")]
 
 
+def test_kept_matches_stay_whole_where_others_overlap(spark):
+    docs = spark.createDataFrame([(1, "call +1 (407) 555-7710 Harbor Ave now"), (2, "mail a.b@c.com or 850-555-0147@x.com"), (3, "none"), (4, None)], "doc_id long, text string")
+    engine = Engine(Policy())
+    out = engine.redact(docs, keep=("phone",))
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "call +1 (407) 555-7710[STREET_ADDRESS] now", 2: "mail [EMAIL] or 850-555-0147[EMAIL]", 3: "none", 4: None}
+    assert {(r.doc_id, r.category, r.shape) for r in engine.residuals(out).collect()} == {(1, "phone", "+9 (999) 999-9999"), (2, "phone", "999-999-9999")}
+    assert {r.doc_id: (list(r.remediated), r.passed) for r in engine.remediate(out).collect()} == {1: (["phone"], False), 2: (["phone"], False), 3: ([], True), 4: ([], True)}
+
+
 def test_report_looks_twice_at_each_text_without_a_shuffle(spark):
     docs = spark.createDataFrame([(1, "aa@example.com and bb@example.com"), (2, "mail copyright@aia.org"), (3, None)], "doc_id long, text string")
     engine = Engine(Policy())
