@@ -81,9 +81,10 @@ def hit(items: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def over_redacted(keep: DataFrame, page_categories: DataFrame) -> DataFrame:
-    """Labels to keep whose page has a redaction of an equivalent category."""
+    """(doc_id, item_id) of labels to keep whose page has a redaction of an equivalent category, each item once."""
     seen = page_categories.select("doc_id", (F.col("page") - 1).alias("page"), F.explode("categories").alias("__c"))
-    return keep.join(seen, (keep.doc_id == seen.doc_id) & (keep.page == seen.page) & satisfies(keep.category, F.col("__c")), "left_semi")
+    hits = keep.join(seen, (keep.doc_id == seen.doc_id) & (keep.page == seen.page) & satisfies(keep.category, F.col("__c")), "left_semi")
+    return hits.select("doc_id", "item_id").distinct()
 
 
 def by_tag(rows: DataFrame, tags: str, keys: tuple[str, ...] = ("hits", "total")) -> DataFrame:
