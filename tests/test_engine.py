@@ -177,3 +177,42 @@ def test_report_looks_twice_at_each_text_without_a_shuffle(spark):
     assert {r.doc_id: (r.redactions, r.suppressed, r.residuals, r.release_status) for r in report.collect()} == {r.doc_id: (r.redactions, r.suppressed, r.residuals, r.release_status) for r in engine.report(docs, engine.redact(docs)).collect()}
     assert {r.doc_id: (r.redactions, r.suppressed) for r in report.collect()}[1] == ({"email": 2, "url": 2}, None)
     assert "Exchange" not in report._jdf.queryExecution().executedPlan().toString()
+
+
+def test_following_values_and_counts_as_by_brute_force(spark):
+    rng, nan = random.Random(5), float("nan")
+    texts = ("OWNER:", "Harbor Tower LLC", "Drawn by", "Bay 12", "x", "")
+    rows = [(rng.randrange(3), rng.randrange(60) if rng.random() < 0.97 else None, rng.choice(texts), *[rng.choice((0.0, 30.0, 80.0, 300.0)) for _ in range(2)]) for _ in range(240)]
+    rows = [(d, o, t, x, None if k % 41 == 0 else y, nan if k % 37 == 0 else x + 60, y + 12) for k, (d, o, t, x, y) in enumerate(rows)]
+    lines = spark.createDataFrame(rows, "doc_id long, ord long, text string, x0 double, y0 double, x1 double, y1 double")
+    lines.createOrReplaceTempView("brute_lines")
+    pairs = """SELECT l.doc_id, l.ord AS a, v.ord AS b, v.text AS value, l.y0 AS ly, v.y0 AS vy FROM brute_lines l JOIN brute_lines v ON l.doc_id = v.doc_id AND v.ord > l.ord WHERE l.text IN ('OWNER:', 'Drawn by') AND v.text IN ('Harbor Tower LLC', 'Bay 12')
+        AND NOT EXISTS (SELECT 1 FROM brute_lines s WHERE s.doc_id = l.doc_id AND s.ord > l.ord AND s.ord <= v.ord AND s.y0 - l.y1 > 120)
+        AND (abs(v.x0 - l.x0) <= greatest(36D, greatest(1D, l.x1 - l.x0) * 0.5) OR (least(v.x1, l.x1) > greatest(v.x0, l.x0) AND least(v.y1, l.y1) > greatest(v.y0, l.y0)))"""
+    want = Counter((r.doc_id, r.a, r.b, r.value) for r in spark.sql(pairs).collect())
+    assert len(want) > 50
+    assert Counter((r.doc_id, r.label_ord, r.value_ord, r.raw) for r in labels.following_values(lines).collect()) == want
+    counted = Counter()
+    for r in labels.following_counts(lines).collect():
+        counted[r.value] += r.labels
+    by_value = Counter()
+    for k, n in want.items():
+        by_value[k[3]] += n
+    assert counted == by_value
+    first = {(r.doc_id, r.label_ord): r.value_ord for r in labels.following_values(lines, only_first=True).collect()}
+    assert first == {(d, a): min(k[2] for k in want if k[:2] == (d, a)) for d, a, _, _ in want}
+
+
+def test_items_over_redacted_come_once_and_images_meet_without_pairs(spark):
+    from veilspark.operators import spatial
+
+    box = "rect struct<x0:double,y0:double,x1:double,y1:double>"
+    items = spark.createDataFrame([(1, 7, 0, "contact"), (1, 7, 0, "contact"), (1, 8, 1, "contact")], "doc_id long, item_id long, page int, category string")
+    pages = spark.createDataFrame([(1, 1, ["email", "denylist"])], "doc_id long, page int, categories array<string>")
+    assert [tuple(r) for r in evaluate.over_redacted(items, pages).collect()] == [(1, 7)]
+    marks = spark.createDataFrame([(1, 1, 5, (0.0, 0.0, 1.0, 1.0)), (1, 2, 6, (0.0, 0.0, 1.0, 1.0))], f"doc_id long, page int, label_id long, {box}")
+    images = spark.createDataFrame([(1, 1, 3, (2.0, 0.0, 3.0, 1.0)), (1, 1, 2, (2.0, 0.0, 3.0, 1.0)), (1, 1, 1, (5.0, 0.0, 6.0, 1.0)), (1, 2, 4, (0.0, 0.0, 99.0, 99.0))], f"doc_id long, page int, image_id long, {box}")
+    whole = spark.createDataFrame([(1, 1, (0.0, 0.0, 10.0, 10.0)), (1, 2, (0.0, 0.0, 10.0, 10.0))], f"doc_id long, page int, {box}")
+    near = spatial.nearest_images(marks, images, whole)
+    assert {r.label_id: tuple(r.rect) for r in near.collect()} == {5: (0.0, 0.0, 3.0, 1.0), 6: (0.0, 0.0, 2.4, 2.4)}
+    assert "array_min" in near._jdf.queryExecution().optimizedPlan().toString()  # a label meets its page's images in one row

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import sys
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy_values as V
@@ -31,28 +33,194 @@ def is_map_label(x: Column) -> Column:
     return x.rlike(java(V.MAP_LABEL))
 
 
+_BOX = ("x0", "y0", "x1", "y1")
+
+
+def _gt(a, b):
+    """a > b as SQL has it: null if one is null, NaN above all numbers."""
+    return None if a is None or b is None else (b == b if a != a else a > b)
+
+
+def _near(v, l, wide: float, flat: bool) -> bool:  # noqa: E741
+    """Whether a value's rectangle is aligned with a label's; both are (x0, y0, x1, y1) that may hold nulls and NaN."""
+    key = lambda z: (z != z, z)
+    least = lambda *z: min((q for q in z if q is not None), key=key, default=None)
+    most = lambda *z: max((q for q in z if q is not None), key=key, default=None)
+    away = None if v[0] is None or l[0] is None else abs(v[0] - l[0])
+    width = most(1.0, None if l[2] is None or l[0] is None else l[2] - l[0])
+    if _gt(away, most(wide, width * 0.5)) is False:
+        return True
+    return bool(_gt(least(v[2], l[2]), most(v[0], l[0]))) and (not flat or bool(_gt(least(v[3], l[3]), most(v[1], l[1]))))
+
+
+class _Open:
+    """Labels whose search hasn't ended: many in one matrix, the last few in a list, odd rectangles apart."""
+
+    def __init__(self, reach: float, wide: float, flat: bool):
+        self.reach, self.wide, self.flat = reach, wide, flat
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        self.many, self.box, self.few, self.odd, self.top = [], np.zeros((0, 4)), [], [], float("inf")
+
+    def add(self, label) -> None:
+        r = label[1]
+        if any(z is None or z - z != 0 for z in r):
+            return self.odd.append(label)
+        self.few.append(label)
+        self.top = min(self.top, r[3])
+        if len(self.few) > 32:
+            self.pack()
+
+    def pack(self) -> None:
+        import numpy as np
+
+        self.box = np.concatenate([self.box, np.array([r for _, r, _ in self.few], float).reshape(-1, 4)])
+        self.many, self.few = self.many + self.few, []
+
+    def _keep(self, rest) -> None:
+        """``rest``: a mask of the matrix."""
+        if not rest.all():
+            self.many, self.box = [x for x, s in zip(self.many, rest, strict=True) if s], self.box[rest]
+
+    def close(self, y0) -> None:
+        """The first line too far down ends a search."""
+        if self.odd:
+            self.odd = [x for x in self.odd if x[1][3] is None or not _gt(None if y0 is None else y0 - x[1][3], self.reach)]
+        if y0 is None or y0 - self.top <= self.reach:
+            return
+        self.few = [x for x in self.few if y0 - x[1][3] <= self.reach]
+        self._keep(y0 - self.box[:, 3] <= self.reach)
+        self.top = min([x[1][3] for x in self.few] + ([self.box[:, 3].min()] if self.many else []), default=float("inf"))
+
+    def aligned(self, v) -> list:
+        found = [x for x in self.odd if _near(v, x[1], self.wide, self.flat)]
+        if any(z is None or z - z != 0 for z in v):
+            return found + [x for x in self.many + self.few if _near(v, x[1], self.wide, self.flat)]
+        if self.many:
+            import numpy as np
+
+            x0, y0, x1, y1 = self.box.T
+            near = np.abs(v[0] - x0) <= np.maximum(self.wide, np.maximum(1.0, x1 - x0) * 0.5)
+            lap = np.minimum(v[2], x1) > np.maximum(v[0], x0)
+            if self.flat:
+                lap &= np.minimum(v[3], y1) > np.maximum(v[1], y0)
+            found += [self.many[k] for k in np.flatnonzero(near | lap)]
+        return found + [x for x in self.few if _near(v, x[1], self.wide, self.flat)]
+
+    def drop(self, ords: list) -> None:
+        """Labels of these ords have what they sought."""
+        import numpy as np
+
+        gone = lambda x: any(x[0] == o for o in ords)
+        self.odd, self.few = [x for x in self.odd if not gone(x)], [x for x in self.few if not gone(x)]
+        if self.many:
+            self._keep(np.array([not gone(x) for x in self.many], bool))
+
+
+def _sweep(keys: list[str], reach: float, scale: float, mode: str, schema):
+    """One pass over lines in the order of (page, ord), for mapInArrow; it holds a batch and the open labels."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        page, at, waiting, held = None, None, [], []
+        labels, rows = _Open(reach * scale, 36.0 * scale, scale == 1.0), []
+
+        def pair(label, ord_, t, raw, box):
+            return (*page, label[0], ord_, label[2], t, raw, *box)
+
+        def flush():
+            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        def settle():
+            """The lines of one ord: all of them may end searches, then those that fit are values, then labels open."""
+            for _, box, *_ in held:
+                labels.close(box[1])
+            for ord_, box, t, raw, lone, fits in held:
+                if fits and (found := labels.aligned(box)):
+                    if mode == "count":
+                        rows.append((t, len(found)))
+                    elif mode == "first":
+                        ords = []
+                        for x in found:  # labels of one ord share their first value
+                            if not any(x[0] == o for o in ords):
+                                ords.append(x[0])
+                                rows.append(pair(x, ord_, t, raw, box))
+                        labels.drop(ords)
+                    else:
+                        for x in found:
+                            rows.append(pair(x, ord_, t, raw, box))
+                            if len(rows) >= 10000:
+                                yield flush()
+                                rows.clear()
+            for ord_, box, t, _, lone, _ in held:
+                if lone:
+                    labels.add((ord_, box, t))
+            held.clear()
+            if len(rows) >= 10000:
+                yield flush()
+                rows.clear()
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in (*keys, "ord", "t", "raw", "lone", "fits", *_BOX)]
+            for *p, ord_, t, raw, lone, fits, x0, y0, x1, y1 in zip(*columns, strict=True):
+                if p != page or ord_ != at:
+                    yield from settle()
+                    at = ord_
+                    if p != page:
+                        labels.clear()
+                        page = p
+                held.append((ord_, (x0, y0, x1, y1), t, raw, lone, fits))
+        yield from settle()
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _swept(lines: DataFrame, page: tuple[str, ...], reach: float, scale: float, value_wins: bool, mode: str) -> DataFrame:
+    from pyspark import cloudpickle
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructType
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+    text = F.col("__t")
+    alone = is_label(text) & (label_value(F.col("text")).isNull() if value_wins else F.lit(True))
+    fits = redactable(text, True) & (F.size(F.split(text, java(r"\s+"))) <= 10) & ~is_label(text)
+    x = lines.where(" and ".join(f"{k} is not null" for k in (*page, "ord"))).withColumn("__t", F.explode(F.array(normalized(F.col("text")))))
+    x = x.select(*page, "ord", "text", "__t", F.coalesce(alone, F.lit(False)).alias("lone"), F.coalesce(fits, F.lit(False)).alias("fits"), *[F.col(k).cast("double").alias(k) for k in _BOX])
+    x = x.select(*page, "ord", F.when(F.col("lone") | F.col("fits"), F.col("__t")).alias("t"), F.when(F.col("fits"), F.col("text")).alias("raw"), "lone", "fits", *_BOX)
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.sparkSession.sparkContext.defaultParallelism)
+    x = x.repartition(parts, *page).sortWithinPartitions(*page, "ord")
+    kinds = x.schema
+    if mode == "count":
+        out = StructType().add("value", "string").add("labels", LongType())
+    else:
+        out = StructType()
+        for k in page:
+            out = out.add(k, kinds[k].dataType)
+        out = out.add("label_ord", kinds["ord"].dataType).add("value_ord", kinds["ord"].dataType).add("label", "string").add("value", "string").add("raw", "string")
+        for k in _BOX:
+            out = out.add(k, "double")
+    return x.mapInArrow(_sweep(list(page), reach, scale, mode, to_arrow_schema(out)), out)
+
+
 def following_values(lines: DataFrame, page: tuple[str, ...] = ("doc_id",), reach: float = 120.0, only_first: bool = False, scale: float = 1.0, value_wins: bool = False) -> DataFrame:
     """(page, label_ord, value_ord, label, value, raw, x0, y0, x1, y1): label-only lines with the aligned value lines below them.
 
     lines(*page, ord, text, x0, y0, x1, y1). A label's search ends at the first later line (by ``ord``) that begins more than
-    ``reach`` points under it, whatever comes after. That line is one minimum for each label; all joins share the page as key.
-    ``only_first`` keeps the nearest value of each label; ``scale`` is pixels a point; with ``value_wins`` a line that holds
-    its own value is no label for others.
+    ``reach`` points under it, whatever comes after. Lines are read once, in their order, beside the labels whose search is
+    open (no built-in function has "the first later line beyond a bound that differs by row"): a page costs its lines and
+    its pairs, and memory only its open labels. ``only_first`` keeps the nearest value of each label; ``scale`` is pixels a
+    point; with ``value_wins`` a line that holds its own value is no label for others.
     """
-    text = normalized(F.col("text"))
-    alone = is_label(text) & (label_value(F.col("text")).isNull() if value_wins else F.lit(True))
-    labels = lines.where(alone).select(*page, F.col("ord").alias("label_ord"), text.alias("label"), *[F.col(k).alias("l" + k) for k in ("x0", "y0", "x1", "y1")])
-    fits = redactable(text, True) & (F.size(F.split(text, java(r"\s+"))) <= 10) & ~is_label(text)
-    later = labels.select(*page, "label_ord", "ly1").join(lines.select(*page, "ord", "y0"), list(page)).where((F.col("ord") > F.col("label_ord")) & (F.col("y0") - F.col("ly1") > reach * scale))
-    ends = later.groupBy(*page, "label_ord").agg(F.min("ord").alias("__stop"))
-    values = lines.where(fits).select(*page, F.col("ord").alias("value_ord"), text.alias("value"), F.col("text").alias("raw"), "x0", "y0", "x1", "y1")
-    width = F.greatest(F.lit(1.0), F.col("lx1") - F.col("lx0"))
-    overlap = F.least("x1", "lx1") > F.greatest("x0", "lx0")
-    if scale == 1.0:
-        overlap &= F.least("y1", "ly1") > F.greatest("y0", "ly0")
-    aligned = (F.abs(F.col("x0") - F.col("lx0")) <= F.greatest(F.lit(36.0 * scale), width * 0.5)) | overlap
-    reached = (F.col("value_ord") > F.col("label_ord")) & (F.col("__stop").isNull() | (F.col("value_ord") < F.col("__stop")))
-    out = labels.join(ends, [*page, "label_ord"], "left").join(values, list(page)).where(reached & aligned)
-    if only_first:
-        out = out.withColumn("k", F.row_number().over(Window.partitionBy(*page, "label_ord").orderBy("value_ord"))).where("k = 1")
-    return out.select(*page, "label_ord", "value_ord", "label", "value", "raw", "x0", "y0", "x1", "y1")
+    return _swept(lines, page, reach, scale, value_wins, "first" if only_first else "all")
+
+
+def following_counts(lines: DataFrame, page: tuple[str, ...] = ("doc_id",), reach: float = 120.0) -> DataFrame:
+    """(value, labels): each line that is a value, with the number of ``following_values`` pairs that it is in."""
+    return _swept(lines, page, reach, 1.0, False, "count")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filename_phrase, normalized, redactable
 from ..policy import Policy, java
-from .labels import LABEL_VALUE, following_values, is_firm, label_value
+from .labels import LABEL_VALUE, following_counts, is_firm, label_value
 from .suppress import proposal_rejection
 
 _ANY_LABEL = java(r"^[A-Za-z][A-Za-z/&'. -]{1,38}:\s+(\S.*)$")
@@ -29,15 +29,16 @@ def propose_terms(lines: DataFrame, policy: Policy, paths: DataFrame | None = No
     text = normalized(F.col("text"))
     parts = [
         lines.select(label_value(text).alias("value"), F.lit("labelled_value").alias("why")).where("value is not null"),
-        following_values(lines).select("value", F.lit("label_following_line").alias("why")),
+        following_counts(lines).select("value", F.lit("label_following_line").alias("why"), F.col("labels").alias("n")),
         lines.where(is_firm(text)).select(text.alias("value"), F.lit("firm_name_pattern").alias("why")),
     ]
     if paths is not None:
         parts.append(paths.select(filename_phrase(F.col("path")).alias("value"), F.lit("source_filename").alias("why")).where("value is not null"))
+    parts = [p if "n" in p.columns else p.withColumn("n", F.lit(1).cast("long")) for p in parts]
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    every = every.groupBy("value", "why").agg(F.count("*").alias("n"))  # each distinct phrase is examined once
+    every = every.groupBy("value", "why").agg(F.sum("n").alias("n"))  # each distinct phrase is examined once
     every = computed(every, "term", normalized(F.col("value")))
     for step in ("once", "twice"):  # up to two labels
         every = computed(every, step, without_label(F.col("term"))).drop("term").withColumnRenamed(step, "term")
