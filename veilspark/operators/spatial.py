@@ -43,13 +43,21 @@ def cells_crossed(matches: DataFrame, cells: DataFrame, key: tuple[str, ...] = (
 
 
 def nearest_images(labels: DataFrame, images: DataFrame, pages: DataFrame, key: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """(key, label_id, rect): each map label with its nearest image, or a box of 38 % of the page around it."""
+    """(key, label_id, rect): each map label with its nearest image, or a box of 38 % of the page around it.
+
+    A page's distinct rectangles are one array, which each label reads in its own row: no row for each pair is made or sorted.
+    """
     p = pages.select(*key, F.col("rect").alias("__p"))
     x = labels.select(*key, "label_id", F.col("rect").alias("__l")).join(p, list(key))
-    joined = x.join(images.select(*key, "image_id", F.col("rect").alias("__i")), list(key), "left")
-    size = R.area(R.union(F.col("__i"), F.col("__l")))
-    near = F.when(size <= R.area(F.col("__p")) * 0.45, F.struct(size.alias("a"), "image_id", R.union(F.col("__i"), F.col("__l")).alias("rect")))
-    best = joined.groupBy(*key, "label_id").agg(F.min(near).alias("b"), F.first("__l").alias("l"), F.first("__p").alias("p"))
+    seen = images.groupBy(*key, F.col("rect").alias("__i")).agg(F.min("image_id").alias("image_id"))  # equal rectangles: the smallest id wins anyway
+    seen = seen.groupBy(*key).agg(F.collect_list(F.struct("image_id", "__i")).alias("__all"))
+
+    def near(i: Column) -> Column:
+        whole = R.union(i["__i"], F.col("__l"))
+        return F.when(R.area(whole) <= R.area(F.col("__p")) * 0.45, F.struct(R.area(whole).alias("a"), i["image_id"].alias("image_id"), whole.alias("rect")))
+
+    joined = x.join(seen, list(key), "left").select(*key, "label_id", "__l", "__p", F.array_min(F.transform("__all", near)).alias("__b"))
+    best = joined.groupBy(*key, "label_id").agg(F.min("__b").alias("b"), F.first("__l").alias("l"), F.first("__p").alias("p"))
     cx, cy = (F.col("l.x0") + F.col("l.x1")) / 2, (F.col("l.y0") + F.col("l.y1")) / 2
     w, h = (F.col("p.x1") - F.col("p.x0")) * 0.19, (F.col("p.y1") - F.col("p.y0")) * 0.19
     box = R.rect(F.greatest(cx - w, F.col("p.x0")), F.greatest(cy - h, F.col("p.y0")), F.least(cx + w, F.col("p.x1")), F.least(cy + h, F.col("p.y1")))
