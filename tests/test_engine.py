@@ -39,6 +39,17 @@ def test_every_match_and_offset_agrees_with_a_plain_matcher(spark, docs):
     assert got == want and len({g[1] for g in got}) == 13
 
 
+def test_counts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["call +1 (989) 555-0525 st\u00e4 des", "850 555-0100 850 555-0101", "1 555-0100\u00a0Oak St", "at 1.12345,2.12345;3.12345,4.12345", "\u00e9ab@x.org", "lot no.\u0001 A-77", "850 555-0100\n", "b\u00fcro.com\u00e4 www.\u00e9", "12 Par\u212away", "1 a \u017ft", "12\x0bOak St", None, ""] + TEXTS
+    spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(queries.ORACLES["count_by_category"]).fetchall())
+    assert sorted(map(tuple, queries.QUERIES["count_by_category"](spark, str(tmp_path)).collect())) == want
+
+
 def test_no_terms_match_nothing(docs):
     assert policy.denylist_pattern(()) is None
     assert scan.scan(docs, categories=("email", "denylist"), policy=Policy()).where("category = 'denylist'").count() == 0

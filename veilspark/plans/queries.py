@@ -74,7 +74,7 @@ for _category, _source in _INPUTS.items():
 
 
 def _count_by_category(spark, sf_dir):
-    return scan.count_by_category(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return scan.count_by_category(spread(table(spark, sf_dir, "documents").select("text")))
 
 
 _union = " UNION ALL ".join(f"SELECT {quoted(c)} AS category, doc_id, len(regexp_extract_all(text, {quoted(_GUARDED.get(c, p))}, {2 if c in _GUARDED else 0})) AS n FROM documents" for c, p in V.DIRECT_PATTERNS.items())
