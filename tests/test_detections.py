@@ -39,6 +39,13 @@ def test_lines_give_patterns_by_block_and_terms_by_page(spark):
     assert [g[2:4] for g in plain if g[0] == "denylist"] == [(0.0, 100.0), (25.0, 80.0)]  # terms cross blocks
 
 
+def test_matches_read_their_lines_without_a_join(spark):
+    lines = spark.createDataFrame([line(0, 0, "12 Sycamore", 0.0), line(1, 0, "Street", 20.0)], LINES)
+    made = detections.block_matches(lines, Policy(terms=("Sycamore Street",)))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()  # before, each match met all lines of its page
+    assert sorted((r.category, r.rect.y0, r.context) for r in made.collect()) == [(c, y, "12 Sycamore\nStreet") for c in ("denylist", "street_address") for y in (0.0, 20.0)]
+
+
 def test_table_cells_rule_out_fragile_matches_only(spark):
     lines = spark.createDataFrame([line(0, 0, "12 Sycamore Street", 0.0), line(1, 1, "ann@example.org bob@example.org", 20.0)], LINES)
     cells = spark.createDataFrame([(1, 1, k, (20.0 * k, 0.0, 20.0 * k + 20, 40.0)) for k in range(5)], "doc_id int, page int, cell_id int, rect struct<x0:double,y0:double,x1:double,y1:double>")

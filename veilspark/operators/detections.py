@@ -18,9 +18,9 @@ from ..policy import Policy
 from . import labels, layout
 from .propose import computed
 from .runs import span_rect
-from .scan import scan
+from .scan import matches_in
 from .spatial import cells_crossed
-from .suppress import candidate_suppression, product_evidence
+from .suppress import candidate_suppression, product_phrase, product_window
 
 PAGE = ("doc_id", "page")
 OUT = (*PAGE, "rect", "category", "detector", "start", "end", "text", "evidence", "suppressed_by")
@@ -49,26 +49,31 @@ def ocr_lines(words: DataFrame) -> DataFrame:
 
 
 def block_matches(lines: DataFrame, policy: Policy, whole_page: bool = True) -> DataFrame:
-    """(doc_id, page, mid, category, start, end, match, context, evidence, lines): patterns by block, terms by page (or by block).
+    """(doc_id, page, mid, category, start, end, match, context, evidence, rect): patterns by block, terms by page (or by block).
 
-    A block breaks patterns so that unrelated text can't form an address; an exact term may cross blocks. ``lines`` are
-    the (rectangle) parts that the match touches, one for each line.
+    A block breaks patterns so that unrelated text can't form an address; an exact term may cross blocks. There is a row
+    for each line that a match touches, with the line's part of its rectangle. A block's (a page's) lines stay beside its text
+    in one row, so that a match reads the lines it touches there and joins with none.
     """
     made = []
-    patterns = [(("block",), ("line",), replace(policy, terms=policy.terms if not whole_page else ()))]
+    patterns = [(("block",), ("line",), replace(policy, terms=policy.terms if not whole_page else ()), None)]
     if whole_page and policy.terms:
-        patterns.append(((), ("ord",), policy))
-    for extra, order, rules in patterns:
+        patterns.append(((), ("ord",), policy, ("denylist",)))
+    for extra, order, rules, categories in patterns:
         scope = (*PAGE, *extra)
-        texts = layout.joined_text(lines, scope, order)
-        found = scan(texts, policy=rules, categories=("denylist",) if not extra else None)
-        context = containing_line(F.col("text"), F.col("start"), F.col("end"))
-        found = found.select(*scope, "category", "start", "end", "match", context.alias("context"), product_evidence(F.col("text"), F.col("start"), F.col("end"), policy).alias("evidence"))
+        known = lines.where(" and ".join(f"{k} is not null" for k in (*scope, "text")))
+        placed = layout.with_offsets(known, scope, (*order, "text"))
+        held = placed.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("start", "end", "text", line_rect().alias("rect"), "words"))).alias("__p"))
+        held = computed(held, "text", F.array_join(F.transform("__p", lambda t: t["text"]), "\n"))
+        touched = lambda m: F.filter("__p", lambda t: (t["end"] > m["start"]) & (t["start"] < m["end"]))  # noqa: E731, B023
+        whole = lambda m: F.struct(m.alias("m"), containing_line(F.col("text"), m["start"], m["end"]).alias("context"), product_window(F.col("text"), m["start"], m["end"]).alias("near"), touched(m).alias("lines"))  # noqa: E731, B023
+        # each array is computed before it is exploded: a filter that the optimizer makes from an explode would compute it again
+        found = computed(computed(held, "__m", matches_in(F.col("text"), rules, categories)).where(F.size("__m") > 0), "__w", F.transform("__m", whole)).select(*scope, F.explode("__w").alias("__w"))
+        found = found.select(*scope, *[F.col(f"__w.m.{k}").alias(k) for k in ("category", "start", "end", "match")], "__w.context", product_phrase(F.col("__w.near"), policy).alias("evidence"), F.explode("__w.lines").alias("__l"))
         found = found.withColumn("mid", F.to_json(F.struct(*scope, "category", "start", "end"), {"ignoreNullFields": "false"}))
-        placed = layout.with_offsets(lines, scope, order).select(*scope, F.col("start").alias("ls"), F.col("end").alias("le"), line_rect().alias("__line"), "words")
-        hit = found.join(placed, list(scope)).where("le > start and ls < end")
-        part = span_rect(F.col("words"), F.greatest(F.lit(0), F.col("start") - F.col("ls")), F.least("le", "end") - F.col("ls"), F.col("__line"))
-        made.append(hit.select(*PAGE, "mid", "category", "start", "end", "match", "context", "evidence", part.alias("rect")))
+        at = F.col("__l.start")
+        part = span_rect(F.col("__l.words"), F.greatest(F.lit(0), F.col("start") - at), F.least(F.col("__l.end"), "end") - at, F.col("__l.rect"))
+        made.append(found.select(*PAGE, "mid", "category", "start", "end", "match", "context", "evidence", part.alias("rect")))
     return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
@@ -95,12 +100,13 @@ def _pattern_rows(found: DataFrame, policy: Policy, cells: DataFrame | None) ->
 
 def line_detections(lines: DataFrame, policy: Policy, cells: DataFrame | None = None) -> DataFrame:
     """Patterns, terms and labelled values of extracted lines; cells(doc_id, page, cell_id, rect) rule out what tables break."""
+    lines = layout.by_page(lines, PAGE)
     return _pattern_rows(block_matches(lines, policy), policy, cells).unionByName(_label_rows(lines, policy, 1.0, True))
 
 
 def ocr_detections(words: DataFrame, policy: Policy, scale: float) -> DataFrame:
     """The same policy over recognised words in pixels; terms by paragraph, no table cells; rectangles in points."""
-    lines = ocr_lines(words)
+    lines = ocr_lines(layout.by_page(words, PAGE))
     found = _pattern_rows(block_matches(lines, policy, whole_page=False), policy, None).unionByName(_label_rows(lines, policy, scale, False))
     return found.withColumn("rect", R.rect(*[F.col("rect")[k] / scale for k in R.SIDES]))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import policy_values as V
 from ..functions.text import normalized, redactable
 from ..policy import java
+from .layout import by_page
 
 LABEL = java(rf"(?i)^\s*(?:{V.LABEL_NAME})\s*(?::|-)?\s*$")
 LABEL_VALUE = java(rf"(?i)^\s*(?:{V.LABEL_NAME})\s*[:|-]\s*(.+)$")
@@ -191,11 +192,10 @@ def _swept(lines: DataFrame, page: tuple[str, ...], reach: float, scale: float,
     text = F.col("__t")
     alone = is_label(text) & (label_value(F.col("text")).isNull() if value_wins else F.lit(True))
     fits = redactable(text, True) & (F.size(F.split(text, java(r"\s+"))) <= 10) & ~is_label(text)
-    x = lines.where(" and ".join(f"{k} is not null" for k in (*page, "ord"))).withColumn("__t", F.explode(F.array(normalized(F.col("text")))))
+    x = by_page(lines, page).where(" and ".join(f"{k} is not null" for k in (*page, "ord"))).withColumn("__t", F.explode(F.array(normalized(F.col("text")))))
     x = x.select(*page, "ord", "text", "__t", F.coalesce(alone, F.lit(False)).alias("lone"), F.coalesce(fits, F.lit(False)).alias("fits"), *[F.col(k).cast("double").alias(k) for k in _BOX])
     x = x.select(*page, "ord", F.when(F.col("lone") | F.col("fits"), F.col("__t")).alias("t"), F.when(F.col("fits"), F.col("text")).alias("raw"), "lone", "fits", *_BOX)
-    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.sparkSession.sparkContext.defaultParallelism)
-    x = x.repartition(parts, *page).sortWithinPartitions(*page, "ord")
+    x = x.sortWithinPartitions(*page, "ord")
     kinds = x.schema
     if mode == "count":
         out = StructType().add("value", "string").add("labels", LongType())

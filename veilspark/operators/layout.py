@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def tasks(df: DataFrame) -> int:
+    """How many parts costly rows are dealt to: a few for each core, however few splits a small or narrow input has."""
+    session = df.sparkSession
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism)
+
+
+def by_page(lines: DataFrame, page: tuple[str, ...]) -> DataFrame:
+    """The same rows, pages whole: what is grouped or swept by page (and block) afterwards moves no more, and the number of parts is kept as given."""
+    return lines.repartition(tasks(lines), *page)
+
+
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, text, x0, y0, x1, y1): the lines of plain texts with a made-up geometry of 20 points a line; blank lines count but go."""
     rows = docs.select(key, F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")).alias("line", "text"))

@@ -71,10 +71,19 @@ def candidate_suppression(category: Column, x: Column, policy: Policy, cells: Co
     return F.when(category != "denylist", F.coalesce(*rules))
 
 
+def product_window(text: Column, start: Column, end: Column) -> Column:
+    """What lies around a span, as far as a product phrase is sought."""
+    low = F.greatest(F.lit(0), start - V.PRODUCT_WINDOW)
+    return text.substr(low + 1, end + V.PRODUCT_WINDOW - low)
+
+
+def product_phrase(near: Column, policy: Policy) -> Column:
+    return first_phrase(T.fold(near), policy.products)
+
+
 def product_evidence(text: Column, start: Column, end: Column, policy: Policy) -> Column:
     """A product phrase near the span; evidence only."""
-    low = F.greatest(F.lit(0), start - V.PRODUCT_WINDOW)
-    return first_phrase(T.fold(text.substr(low + 1, end + V.PRODUCT_WINDOW - low)), policy.products)
+    return product_phrase(product_window(text, start, end), policy)
 
 
 def identifier_shaped(x: Column) -> Column:
