@@ -50,6 +50,16 @@ def test_counts_are_those_of_the_sql(spark, tmp_path):
     assert sorted(map(tuple, queries.QUERIES["count_by_category"](spark, str(tmp_path)).collect())) == want
 
 
+def test_equal_values_are_ruled_once_and_counted_all(spark):
+    rows = spark.createDataFrame([("Owner's", "party")] * 5 + [(None, "party")] * 2 + [("Hatco", "manufacturer")] * 3, "term string, verdict string")
+    once = suppress.distinct_rows(rows, "term", "verdict")
+    assert sorted(r.n for r in once.collect()) == [2, 3, 5] and once.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    made = [sorted(map(tuple, evaluate.outcomes(evaluate.classify(x, Policy(terms=("Hatco",)))).collect())) for x in (rows, once)]
+    assert made[0] == made[1] == [("manufacturer", 3, 0, 0, 3), ("party", 0, 5, 2, 5)]
+    ruled = [sorted(map(tuple, report.rule_counts(x.withColumn("rule", suppress.suppression_reason(F.col("term"), Policy())).where("rule is not null")).collect())) for x in (rows, once)]
+    assert ruled[0] == ruled[1] == [("contract_defined_term", 5), ("shared_allowlist", 3)]
+
+
 def test_no_terms_match_nothing(docs):
     assert policy.denylist_pattern(()) is None
     assert scan.scan(docs, categories=("email", "denylist"), policy=Policy()).where("category = 'denylist'").count() == 0

@@ -24,8 +24,10 @@ def classify(golden: DataFrame, policy: Policy) -> DataFrame:
 
 
 def outcomes(classified: DataFrame) -> DataFrame:
-    """(verdict, redacted, suppressed, passed, rejected)."""
-    return classified.groupBy("verdict").agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("redacted", "suppressed", "passed")], F.count("rejected").alias("rejected"))
+    """(verdict, redacted, suppressed, passed, rejected); with a column ``n`` a row stands for so many equal ones."""
+    n = F.col("n") if "n" in classified.columns else F.lit(1)
+    total = lambda held: F.coalesce(F.sum(F.when(held, n)), F.lit(0)).cast("long")
+    return classified.groupBy("verdict").agg(*[total(F.col("action") == a).alias(a) for a in ("redacted", "suppressed", "passed")], total(F.col("rejected").isNotNull()).alias("rejected"))
 
 
 def metrics(counted: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ def sorted_counts(df: DataFrame, keys: list[str], of: str) -> DataFrame:
 
 
 def rule_counts(suppressed: DataFrame, rule: str = "rule") -> DataFrame:
-    """By the rule's kind: what stands before its first colon."""
-    return suppressed.groupBy(F.substring_index(rule, ":", 1).alias("rule")).agg(F.count("*").alias("n"))
+    """By the rule's kind: what stands before its first colon; with a column ``n`` a row stands for so many equal ones."""
+    n = F.sum("n") if "n" in suppressed.columns else F.count("*")
+    return suppressed.groupBy(F.substring_index(rule, ":", 1).alias("rule")).agg(n.alias("n"))
 
 
 def page_categories(detections: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy_values as V
 from ..functions import text as T
 from ..policy import Policy, java
+from .layout import tasks
 
 _BARE = " \t.,:;-—–'’\"()[]{}*#|_"
 
@@ -26,6 +27,11 @@ def first_phrase(folded: Column, phrases: tuple[str, ...]) -> Column:
     return F.get(F.transform(F.array(folded), lambda t: F.get(F.filter(known, lambda p: F.contains(t, p)), F.lit(0))), F.lit(0))
 
 
+def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """(columns, n): rows that are equal once with their number, dealt to a few tasks a core, so that rules are tried once for each value and by all cores."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).repartition(tasks(df))
+
+
 def structural_name(x: Column, policy: Policy) -> Column:
     """The first rule that is the whole value or the whole bare value; one test of all rules goes first, as most values are none."""
     if not policy.structural:

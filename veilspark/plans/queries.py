@@ -345,7 +345,12 @@ add(
 
 # -- counts, caps and states -------------------------------------------------------------------
 
-add("count_by_rule", lambda spark, d: report.rule_counts(view(spark, d, "v_short").select(suppress.suppression_reason(F.col("text"), POLICY).alias("rule")).where("rule is not null")), "SELECT split_part(reason, ':', 1) AS rule, count(*) AS n FROM (" + ORACLES["suppression_reason"] + ") WHERE reason IS NOT NULL GROUP BY 1")
+def _reasons(spark, d):
+    texts = suppress.distinct_rows(view(spark, d, "v_short"), "text")
+    return texts.select(suppress.suppression_reason(F.col("text"), POLICY).alias("rule"), "n").where("rule is not null")
+
+
+add("count_by_rule", lambda spark, d: report.rule_counts(_reasons(spark, d)), "SELECT split_part(reason, ':', 1) AS rule, count(*) AS n FROM (" + ORACLES["suppression_reason"] + ") WHERE reason IS NOT NULL GROUP BY 1")
 add("page_categories", lambda spark, d: report.page_categories(view(spark, d, "v_box")).select("doc_id", "page", F.array_join("categories", ",").alias("categories")), with_views("v_box") + "SELECT doc_id, page, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM v_box GROUP BY 1, 2")
 add("sorted_counters", lambda spark, d: report.sorted_counts(view(spark, d, "v_box"), ["doc_id"], "category").select("doc_id", F.to_json("counts").alias("counts")), with_views("v_box") + """SELECT doc_id, '{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}' AS counts FROM (SELECT doc_id, category, count(*) AS n FROM v_box GROUP BY 1, 2) GROUP BY 1""")
 add("residual_cap", lambda spark, d: report.residual_cap(view(spark, d, "v_box"), order="id"), with_views("v_box") + "SELECT doc_id, least(count(*), 200) AS kept, greatest(count(*) - 200, 0) AS truncated FROM v_box GROUP BY 1")
@@ -389,7 +394,8 @@ add("by_language", lambda spark, d: evaluate.by_tag(table(spark, d, "documents")
 
 
 def _golden(spark, d):
-    return view(spark, d, "v_short").selectExpr("text AS term", "CASE WHEN id % 12 IN (4, 7) THEN 'manufacturer' WHEN id % 12 = 6 THEN 'boilerplate' WHEN id % 12 = 9 THEN 'party' ELSE 'structural' END AS verdict")
+    rows = view(spark, d, "v_short").selectExpr("text AS term", "CASE WHEN id % 12 IN (4, 7) THEN 'manufacturer' WHEN id % 12 = 6 THEN 'boilerplate' WHEN id % 12 = 9 THEN 'party' ELSE 'structural' END AS verdict")
+    return suppress.distinct_rows(rows, "term", "verdict")
 
 
 add(
