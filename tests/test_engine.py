@@ -60,6 +60,16 @@ def test_equal_values_are_ruled_once_and_counted_all(spark):
     assert ruled[0] == ruled[1] == [("contract_defined_term", 5), ("shared_allowlist", 3)]
 
 
+def test_clean_texts_are_not_looked_at_again(spark, docs):
+    e = Engine(Policy(terms=("QRX-21109",)))
+    plain, marked = e.redact(docs), e.redact(docs, mark=True)
+    rows = {r.doc_id: r for r in marked.collect()}
+    assert {k: r.text for k, r in rows.items()} == {r.doc_id: r.text for r in plain.collect()} and all(r.text == TEXTS[k] for k, r in rows.items() if r.clean) and {6, 7, 8} <= {k for k, r in rows.items() if r.clean} and not rows[0].clean
+    assert sorted(map(tuple, e.sweep(marked).select("doc_id", "text").collect())) == sorted(map(tuple, e.sweep(plain).collect()))
+    false_mark = docs.where("doc_id = 0").withColumn("clean", F.lit(True))
+    assert e.residuals(false_mark).count() == 0 and e.residuals(docs.where("doc_id = 0")).count() > 0 and e.sweep(false_mark).first().text == TEXTS[0]
+
+
 def test_no_terms_match_nothing(docs):
     assert policy.denylist_pattern(()) is None
     assert scan.scan(docs, categories=("email", "denylist"), policy=Policy()).where("category = 'denylist'").count() == 0

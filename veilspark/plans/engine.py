@@ -14,6 +14,9 @@ from ..operators.suppress import candidate_suppression, product_evidence
 from ..policy import Policy
 
 
+_FOUND = "array<struct<category:string,ord:int,start:int,end:int,match:string>>"
+
+
 def _open(found: str) -> Column:
     return F.filter(found, lambda m: m["rule"].isNull())
 
@@ -54,26 +57,33 @@ class Engine:
 
     def _looked(self, docs: DataFrame, name: str, text: str = "text") -> DataFrame:
         """docs with array<struct<category, ord, start, end, match, rule>> of what a look at a text finds."""
-        docs = computed(docs, "__found", matches_in(F.col(text), self.policy))
+        found = matches_in(F.col(text), self.policy)
+        if "clean" in docs.columns:  # a look at this very text found nothing open, and would again
+            found = F.when(~F.coalesce("clean", F.lit(False)), found).otherwise(F.array().cast(_FOUND))
+        docs = computed(docs, "__found", found)
         line = lambda m: containing_line(F.col(text), m["start"], m["end"])
         ruled = F.transform("__found", lambda m: F.struct(*[m[k].alias(k) for k in ("category", "ord", "start", "end", "match")], candidate_suppression(m["category"], m["match"], self.policy, context=line(m)).alias("rule")))
         return computed(docs, name, ruled).drop("__found")
 
-    def redact(self, docs: DataFrame, mask: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-        """docs without what the policy finds; matches of the categories in ``keep`` stay whole, other matches go around them."""
+    def redact(self, docs: DataFrame, mask: str | None = None, keep: tuple[str, ...] = (), mark: bool = False) -> DataFrame:
+        """docs without what the policy finds; matches of the categories in ``keep`` stay whole, other matches go around them.
+
+        With ``mark``, a column ``clean`` says that the look found nothing open, so that the text is as it was and a later look
+        would find the same: ``sweep`` and ``residuals`` by the same policy pass such rows over.
+        """
         looked = self._looked(docs, "__m")
         goes = F.filter("__m", lambda m: m["rule"].isNull() & ~m["category"].isin(*keep)) if keep else _open("__m")
         if keep:
             goes = around(goes, F.filter("__m", lambda m: m["category"].isin(*keep)))
-        return computed(looked, "__out", redact_in(F.col("text"), goes, mask)).withColumn("text", F.col("__out")).select(*docs.columns)
+        return computed(looked, "__out", redact_in(F.col("text"), goes, mask)).withColumn("text", F.col("__out")).select(*[c for c in docs.columns if c != "clean"], *([(F.size(_open("__m")) == 0).alias("clean")] if mark else []))
 
     def sweep(self, redacted: DataFrame, mask: str | None = None) -> DataFrame:
         """A second pass over the output: what only redaction brought together is redacted too."""
-        return self.redact(redacted, mask)
+        return self.redact(redacted, mask, mark="clean" in redacted.columns)
 
     def residuals(self, redacted: DataFrame) -> DataFrame:
         """What a reader of the output could still find; values only as keyed digests and shapes."""
-        left = self.matches(redacted).where("rule is null")
+        left = self.matches(redacted.where("not coalesce(clean, false)") if "clean" in redacted.columns else redacted).where("rule is null")
         return left.select("doc_id", "category", "ord", "start", keyed_digest(self.run_key, F.col("match")).alias("digest"), masked_shape(F.col("match")).alias("shape"))
 
     def remediate(self, redacted: DataFrame, mask: str | None = None) -> DataFrame:

@@ -428,7 +428,7 @@ def _residuals(spark, d):
 
 _marked = f"unnest(regexp_extract_all(text, {quoted(_GUARDED['phone'])}, 2)) AS m"
 add("engine_residuals", _residuals, f"SELECT doc_id, 'phone' AS category, regexp_replace(regexp_replace(regexp_replace(m, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM (SELECT doc_id, {_marked} FROM documents)")
-add("engine_sweep_leaves_nothing", lambda spark, d: (e := Engine(POLICY)).residuals(e.sweep(e.redact(spread(table(spark, d, "documents").select("doc_id", "text"))))).groupBy().agg(F.count("*").alias("residuals")), "SELECT 0::BIGINT AS residuals")
+add("engine_sweep_leaves_nothing", lambda spark, d: (e := Engine(POLICY)).residuals(e.sweep(e.redact(spread(table(spark, d, "documents").select("doc_id", "text")), mark=True))).groupBy().agg(F.count("*").alias("residuals")), "SELECT 0::BIGINT AS residuals")
 
 
 def _engine_report(spark, d):
