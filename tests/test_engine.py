@@ -234,6 +234,33 @@ def test_following_values_and_counts_as_by_brute_force(spark):
     assert first == {(d, a): min(k[2] for k in want if k[:2] == (d, a)) for d, a, _, _ in want}
 
 
+def test_pairs_become_rows_outside_python_and_labels_cross_batches(spark):
+    rng = random.Random(7)
+    rows = [(d, n // 3 if d else n, rng.choice(("OWNER:", "DRAWN BY", f"Bay {n % 9} Tower", f"Note {n}")), rng.choice((0.0, 30.0, 60.0, 200.0)), float(rng.randrange(30) * 10)) for d in range(3) for n in range((500, 400, 20)[d])]
+    lines = spark.createDataFrame([(d, o, t, x, y, x + 90, y + 12) for d, o, t, x, y in rows], "doc_id long, ord long, text string, x0 double, y0 double, x1 double, y1 double")
+    want, first, counted = Counter(), {}, Counter()
+    for k, (d, o, t, x, y) in enumerate(rows):
+        later = sorted((r for r in rows if r[0] == d and r[1] > o), key=lambda r: r[1]) if t in ("OWNER:", "DRAWN BY") else ()
+        end = next((r[1] for r in later if r[4] - (y + 12) > 120), float("inf"))
+        for _, o2, t2, x2, y2 in later:
+            if o2 < end and t2 not in ("OWNER:", "DRAWN BY") and (abs(x2 - x) <= 45 or (abs(x2 - x) < 90 and abs(y2 - y) < 12)):
+                want[d, o, o2, t.strip(":"), t2] += 1
+                counted[t2] += 1
+                first[d, o] = min(o2, first.get((d, o), o2))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        every = labels.following_values(lines)
+        assert Counter((r.doc_id, r.label_ord, r.value_ord, r.label, r.value) for r in every.collect()) == want and sum(want.values()) > 5000
+        got = Counter()
+        for r in labels.following_counts(lines).collect():
+            got[r.value] += r.labels
+        assert got == counted
+        assert {(r.doc_id, r.label_ord): r.value_ord for r in labels.following_values(lines, only_first=True).collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Generate explode(pairs" in every._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_items_over_redacted_come_once_and_images_meet_without_pairs(spark):
     from veilspark.operators import spatial
 

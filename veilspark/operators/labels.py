@@ -35,150 +35,182 @@ def is_map_label(x: Column) -> Column:
 
 
 _BOX = ("x0", "y0", "x1", "y1")
-
-
-def _gt(a, b):
-    """a > b as SQL has it: null if one is null, NaN above all numbers."""
-    return None if a is None or b is None else (b == b if a != a else a > b)
-
-
-def _near(v, l, wide: float, flat: bool) -> bool:  # noqa: E741
-    """Whether a value's rectangle is aligned with a label's; both are (x0, y0, x1, y1) that may hold nulls and NaN."""
-    key = lambda z: (z != z, z)
-    least = lambda *z: min((q for q in z if q is not None), key=key, default=None)
-    most = lambda *z: max((q for q in z if q is not None), key=key, default=None)
-    away = None if v[0] is None or l[0] is None else abs(v[0] - l[0])
-    width = most(1.0, None if l[2] is None or l[0] is None else l[2] - l[0])
-    if _gt(away, most(wide, width * 0.5)) is False:
-        return True
-    return bool(_gt(least(v[2], l[2]), most(v[0], l[0]))) and (not flat or bool(_gt(least(v[3], l[3]), most(v[1], l[1]))))
-
-
-class _Open:
-    """Labels whose search hasn't ended: many in one matrix, the last few in a list, odd rectangles apart."""
-
-    def __init__(self, reach: float, wide: float, flat: bool):
-        self.reach, self.wide, self.flat = reach, wide, flat
-        self.clear()
-
-    def clear(self) -> None:
-        import numpy as np
-
-        self.many, self.box, self.few, self.odd, self.top = [], np.zeros((0, 4)), [], [], float("inf")
-
-    def add(self, label) -> None:
-        r = label[1]
-        if any(z is None or z - z != 0 for z in r):
-            return self.odd.append(label)
-        self.few.append(label)
-        self.top = min(self.top, r[3])
-        if len(self.few) > 32:
-            self.pack()
-
-    def pack(self) -> None:
-        import numpy as np
-
-        self.box = np.concatenate([self.box, np.array([r for _, r, _ in self.few], float).reshape(-1, 4)])
-        self.many, self.few = self.many + self.few, []
-
-    def _keep(self, rest) -> None:
-        """``rest``: a mask of the matrix."""
-        if not rest.all():
-            self.many, self.box = [x for x, s in zip(self.many, rest, strict=True) if s], self.box[rest]
-
-    def close(self, y0) -> None:
-        """The first line too far down ends a search."""
-        if self.odd:
-            self.odd = [x for x in self.odd if x[1][3] is None or not _gt(None if y0 is None else y0 - x[1][3], self.reach)]
-        if y0 is None or y0 - self.top <= self.reach:
-            return
-        self.few = [x for x in self.few if y0 - x[1][3] <= self.reach]
-        self._keep(y0 - self.box[:, 3] <= self.reach)
-        self.top = min([x[1][3] for x in self.few] + ([self.box[:, 3].min()] if self.many else []), default=float("inf"))
-
-    def aligned(self, v) -> list:
-        found = [x for x in self.odd if _near(v, x[1], self.wide, self.flat)]
-        if any(z is None or z - z != 0 for z in v):
-            return found + [x for x in self.many + self.few if _near(v, x[1], self.wide, self.flat)]
-        if self.many:
-            import numpy as np
-
-            x0, y0, x1, y1 = self.box.T
-            near = np.abs(v[0] - x0) <= np.maximum(self.wide, np.maximum(1.0, x1 - x0) * 0.5)
-            lap = np.minimum(v[2], x1) > np.maximum(v[0], x0)
-            if self.flat:
-                lap &= np.minimum(v[3], y1) > np.maximum(v[1], y0)
-            found += [self.many[k] for k in np.flatnonzero(near | lap)]
-        return found + [x for x in self.few if _near(v, x[1], self.wide, self.flat)]
-
-    def drop(self, ords: list) -> None:
-        """Labels of these ords have what they sought."""
-        import numpy as np
-
-        gone = lambda x: any(x[0] == o for o in ords)
-        self.odd, self.few = [x for x in self.odd if not gone(x)], [x for x in self.few if not gone(x)]
-        if self.many:
-            self._keep(np.array([not gone(x) for x in self.many], bool))
+_VALUES = 256  # a block of values meets a block of labels at once
+_LABELS = 512
+_PAIRS = 1 << 19  # pairs in a batch of rows
+
+
+def _over(v, l, lo: int, hi: int):  # noqa: E741
+    """Whether extents overlap as SQL has it: nulls are left out, NaN is above all numbers. Rectangles are (values, nulls), each with four rows."""
+    import numpy as np
+
+    (v, vn), (l, ln) = v, l  # noqa: E741
+    if vn is None:
+        return np.minimum(v[hi], l[hi][:, None]) > np.maximum(v[lo], l[lo][:, None])
+    low = np.maximum(np.where(vn[lo], -np.inf, v[lo]), np.where(ln[lo], -np.inf, l[lo])[:, None])
+    high = np.fmin(v[hi], l[hi][:, None])
+    known = ~(vn[hi] & ln[hi][:, None]) & ~(vn[lo] & ln[lo][:, None])
+    return known & ((high > low) | (np.isnan(high) & ~np.isnan(low)))
+
+
+def _aligned(v, l, wide: float, flat: bool):  # noqa: E741
+    """A mask of labels by values: which rectangles are aligned; without nulls and odd numbers the masks of nulls are None."""
+    import numpy as np
+
+    (a, an), (b, bn) = v, l
+    width = np.maximum(1.0, b[2] - b[0]) if bn is None else np.where(bn[0] | bn[2], 1.0, np.maximum(1.0, b[2] - b[0]))
+    limit = np.maximum(wide, width * 0.5)
+    near = np.abs(a[0] - b[0][:, None]) <= limit[:, None]
+    if an is not None:
+        near = (near | np.isnan(limit)[:, None]) & ~an[0] & ~bn[0][:, None]
+    if near.all():
+        return near
+    return near | (_over(v, l, 0, 2) & _over(v, l, 1, 3) if flat else _over(v, l, 0, 2))
+
+
+def _ends(start, y1, null, deepest, known, reach: float):
+    """For each label the first place from ``start`` whose deepest line is too far down, or the number of places."""
+    import numpy as np
+
+    n, tables = len(deepest), [deepest]
+    while 2 << (len(tables) - 1) <= n:  # tables[k][i]: the deepest of 2^k places from i
+        step = 1 << (len(tables) - 1)
+        tables.append(np.maximum(tables[-1][:-step], tables[-1][step:]))
+    at = start.copy()
+    for k in range(len(tables) - 1, -1, -1):
+        inside = at + (1 << k) <= n
+        ahead = tables[k][np.minimum(at, len(tables[k]) - 1)]
+        at += np.where(inside & (ahead - y1 <= reach), 1 << k, 0)
+    odd = np.isnan(y1) | (y1 == -np.inf)  # any line that has a place is too far down
+    if odd.any():
+        places = np.append(np.flatnonzero(known), n)
+        at[odd] = places[np.searchsorted(places, np.minimum(start[odd], n))]
+    return np.where(null, n, at)
 
 
 def _sweep(keys: list[str], reach: float, scale: float, mode: str, schema):
-    """One pass over lines in the order of (page, ord), for mapInArrow; it holds a batch and the open labels."""
+    """One pass over lines in the order of (page, ord), for mapInArrow; it holds a batch, the lines of its last ord and the open labels."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-
-        page, at, waiting, held = None, None, [], []
-        labels, rows = _Open(reach * scale, 36.0 * scale, scale == 1.0), []
-
-        def pair(label, ord_, t, raw, box):
-            return (*page, label[0], ord_, label[2], t, raw, *box)
-
-        def flush():
-            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-        def settle():
-            """The lines of one ord: all of them may end searches, then those that fit are values, then labels open."""
-            for _, box, *_ in held:
-                labels.close(box[1])
-            for ord_, box, t, raw, lone, fits in held:
-                if fits and (found := labels.aligned(box)):
+        import pyarrow.compute as pc
+
+        def changed(column):
+            if pa.types.is_nested(column.type):
+                values = column.to_pylist()
+                return np.array([a != b for a, b in zip(values[1:], values[:-1], strict=True)], bool)
+            return pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+
+        def taken(column, index):
+            return column.take(pa.array(index))
+
+        def lists(column, index, sizes):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), taken(column, np.concatenate(index)))
+
+        page, box, null, weight, oid, label_ord, label = None, np.zeros((4, 0)), np.zeros((4, 0), bool), np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
+
+        def swept(x, g, first_of_page):
+            """Whole ords: x, the ord's place of each line, and the places at which pages begin."""
+            nonlocal page, box, null, weight, oid, label_ord, label
+            col = {n: x.column(k) for k, n in enumerate(x.schema.names)}
+            n = int(g[-1]) + 1
+            rect = np.stack([pc.fill_null(col[k], np.nan).to_numpy(zero_copy_only=False) for k in _BOX])
+            none = np.stack([col[k].is_null().to_numpy(zero_copy_only=False) for k in _BOX])
+            fits, lone = (np.flatnonzero(col[k].to_numpy(zero_copy_only=False)) for k in ("fits", "lone"))
+            if mode != "count":
+                new_ord, new = taken(col["ord"], lone), taken(col["t"], lone)
+                label_ord, label = (new_ord, new) if label is None else (pa.concat_arrays([label_ord, new_ord]), pa.concat_arrays([label, new]))
+            here = [col[k][0].as_py() for k in keys]
+            page_end = np.append(first_of_page[1:], n)
+            old = len(weight)
+            start = np.concatenate([np.zeros(old, np.int64), g[lone] + 1])
+            stop = np.concatenate([np.full(old, page_end[0] if here == page else 0), page_end[np.searchsorted(first_of_page, g[lone], "right") - 1]])
+            box, null = np.concatenate([box, rect[:, lone]], 1), np.concatenate([null, none[:, lone]], 1)
+            weight, oid = np.concatenate([weight, np.ones(len(lone), np.int64)]), np.concatenate([oid, g[lone]])
+            firsts = np.flatnonzero(np.diff(g, prepend=-1))
+            deep = np.where(none[1], -np.inf, np.where(np.isnan(rect[1]), np.inf, rect[1]))
+            close = _ends(start, box[3], null[3], np.maximum.reduceat(deep, firsts), np.logical_or.reduceat(~none[1], firsts), reach)
+            end, done = np.minimum(close, stop), np.zeros(len(weight), bool)
+            odd_label, odd_line = ~np.isfinite(box).all(0), ~np.isfinite(rect).all(0)
+            made, size = [], 0
+            for b in range(0, len(fits), _VALUES):
+                lines = fits[b : b + _VALUES]
+                place = g[lines]
+                live = np.flatnonzero((start <= place[-1]) & (end > place[0]) & ~done)
+                v, hits, count = rect[:, lines], [], np.zeros(len(lines), np.int64)
+                for c in range(0, len(live), _LABELS):
+                    some = live[c : c + _LABELS]
+                    odd = odd_label[some].any() or odd_line[lines].any()
+                    mask = _aligned((v, none[:, lines] if odd else None), (box[:, some], null[:, some] if odd else None), 36.0 * scale, scale == 1.0)
+                    if start[some].max() > place[0] or end[some].min() <= place[-1]:
+                        mask &= (place >= start[some][:, None]) & (place < end[some][:, None])
                     if mode == "count":
-                        rows.append((t, len(found)))
+                        count += weight[some] @ mask
                     elif mode == "first":
-                        ords = []
-                        for x in found:  # labels of one ord share their first value
-                            if not any(x[0] == o for o in ords):
-                                ords.append(x[0])
-                                rows.append(pair(x, ord_, t, raw, box))
-                        labels.drop(ords)
+                        any_ = np.flatnonzero(mask.any(1))
+                        hits.append((some[any_], mask[any_].argmax(1)))
                     else:
-                        for x in found:
-                            rows.append(pair(x, ord_, t, raw, box))
-                            if len(rows) >= 10000:
-                                yield flush()
-                                rows.clear()
-            for ord_, box, t, _, lone, _ in held:
-                if lone:
-                    labels.add((ord_, box, t))
-            held.clear()
-            if len(rows) >= 10000:
-                yield flush()
-                rows.clear()
-
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (*keys, "ord", "t", "raw", "lone", "fits", *_BOX)]
-            for *p, ord_, t, raw, lone, fits, x0, y0, x1, y1 in zip(*columns, strict=True):
-                if p != page or ord_ != at:
-                    yield from settle()
-                    at = ord_
-                    if p != page:
-                        labels.clear()
-                        page = p
-                held.append((ord_, (x0, y0, x1, y1), t, raw, lone, fits))
-        yield from settle()
-        if rows:
-            yield flush()
+                        pairs = np.flatnonzero(mask)
+                        if len(pairs):
+                            made.append((some, lines, pairs // len(lines) * _VALUES + pairs % len(lines)))
+                            size += len(pairs)
+                if mode == "count":
+                    made.append((lines[count > 0], count[count > 0]))
+                elif mode == "first" and hits:  # labels of one ord share their first value
+                    of, at = (np.concatenate(h) for h in zip(*hits, strict=True))
+                    order = np.lexsort((of, at, oid[of]))
+                    of, at = of[order], at[order]
+                    once = np.flatnonzero(np.diff(oid[of], prepend=np.iinfo(np.int64).min))
+                    made.append((of[once], lines[at[once]]))
+                    done |= np.isin(oid, oid[of])
+                elif size >= _PAIRS:
+                    yield emit(col, made)
+                    made, size = [], 0
+            if made:
+                yield emit(col, made)
+            page = [col[k][-1].as_py() for k in keys]
+            keep = np.flatnonzero((close == n) & (stop == n) & ~done)
+            if mode == "count":  # equal rectangles go one way
+                _, of, inverse = np.unique(np.concatenate([box[:, keep], null[:, keep]]).T, axis=0, return_index=True, return_inverse=True)
+                weight, keep = np.bincount(inverse.ravel(), weight[keep], len(of)).astype(np.int64), keep[of]
+            else:
+                weight, label_ord, label = weight[keep], taken(label_ord, keep), taken(label, keep)
+            box, null, oid = box[:, keep], null[:, keep], -1 - np.unique(oid[keep], return_inverse=True)[1].astype(np.int64)
+
+        def emit(col, made):
+            if mode == "count":
+                at, count = (np.concatenate(m) for m in zip(*made, strict=True))
+                arrays = [taken(col["t"], at), pa.array(count)]
+            elif mode == "first":
+                of, at = (np.concatenate(m) for m in zip(*made, strict=True))
+                arrays = [*[taken(col[k], at) for k in keys], taken(label_ord, of), taken(col["ord"], at), taken(label, of), *[taken(col[k], at) for k in ("t", "raw", *_BOX)]]
+            else:
+                of, at, pairs = zip(*made, strict=True)
+                n_of, n_at = [len(x) for x in of], [len(x) for x in at]
+                value = {k: lists(col[k], at, n_at) for k in (*keys, "ord", "t", "raw", *_BOX)}
+                codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in pairs])]), pa.int32()), pa.array(np.concatenate(pairs), pa.int32()))
+                arrays = [*[value[k] for k in keys], lists(label_ord, of, n_of), value["ord"], lists(label, of, n_of), *[value[k] for k in ("t", "raw", *_BOX)], codes]
+            return pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+        def whole(x, last):
+            """Sweeps the lines of all ords that have ended and returns the others."""
+            new_page = np.append(True, np.logical_or.reduce([changed(x.column(k)) for k in range(len(keys))]))
+            new_ord = new_page | np.append(True, changed(x.column(len(keys))))
+            cut = x.num_rows if last else int(np.flatnonzero(new_ord)[-1])
+            if cut:
+                g = np.cumsum(new_ord[:cut]) - 1
+                yield from swept(x.slice(0, cut), g, g[new_page[:cut]])
+            return x.slice(cut)
+
+        left = None
+        with np.errstate(invalid="ignore"):
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch if left is None or not left.num_rows else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+                    left = yield from whole(x, False)
+            if left is not None and left.num_rows:
+                yield from whole(left, True)
 
     return run
 
@@ -186,7 +218,7 @@ def _sweep(keys: list[str], reach: float, scale: float, mode: str, schema):
 def _swept(lines: DataFrame, page: tuple[str, ...], reach: float, scale: float, value_wins: bool, mode: str) -> DataFrame:
     from pyspark import cloudpickle
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
     text = F.col("__t")
@@ -206,7 +238,13 @@ def _swept(lines: DataFrame, page: tuple[str, ...], reach: float, scale: float,
         out = out.add("label_ord", kinds["ord"].dataType).add("value_ord", kinds["ord"].dataType).add("label", "string").add("value", "string").add("raw", "string")
         for k in _BOX:
             out = out.add(k, "double")
-    return x.mapInArrow(_sweep(list(page), reach, scale, mode, to_arrow_schema(out)), out)
+    if mode != "all":
+        return x.mapInArrow(_sweep(list(page), reach, scale, mode, to_arrow_schema(out)), out)
+    # a row is a block of labels and values with the pairs as numbers; pairs become rows only here, so they aren't moved with their texts
+    blocks = StructType([StructField(f.name, ArrayType(f.dataType)) for f in out]).add("pairs", ArrayType(IntegerType()))
+    pairs = x.mapInArrow(_sweep(list(page), reach, scale, mode, to_arrow_schema(blocks)), blocks).withColumn("__k", F.explode("pairs"))
+    at = {True: F.shiftright("__k", _VALUES.bit_length() - 1), False: F.col("__k").bitwiseAND(_VALUES - 1)}
+    return pairs.select(*[F.get(c, at[c in ("label_ord", "label")]).alias(c) for c in out.names])
 
 
 def following_values(lines: DataFrame, page: tuple[str, ...] = ("doc_id",), reach: float = 120.0, only_first: bool = False, scale: float = 1.0, value_wins: bool = False) -> DataFrame:
@@ -214,13 +252,13 @@ def following_values(lines: DataFrame, page: tuple[str, ...] = ("doc_id",), reac
 
     lines(*page, ord, text, x0, y0, x1, y1). A label's search ends at the first later line (by ``ord``) that begins more than
     ``reach`` points under it, whatever comes after. Lines are read once, in their order, beside the labels whose search is
-    open (no built-in function has "the first later line beyond a bound that differs by row"): a page costs its lines and
-    its pairs, and memory only its open labels. ``only_first`` keeps the nearest value of each label; ``scale`` is pixels a
+    open (no built-in function has "the first later line beyond a bound that differs by row"): memory holds a batch and the open
+    labels, and pairs are numbers until they become rows. A label whose search never ends pairs with all later aligned lines. ``only_first`` keeps the nearest value of each label; ``scale`` is pixels a
     point; with ``value_wins`` a line that holds its own value is no label for others.
     """
     return _swept(lines, page, reach, scale, value_wins, "first" if only_first else "all")
 
 
 def following_counts(lines: DataFrame, page: tuple[str, ...] = ("doc_id",), reach: float = 120.0) -> DataFrame:
-    """(value, labels): each line that is a value, with the number of ``following_values`` pairs that it is in."""
+    """(value, labels): each line that is a value, with the number of ``following_values`` pairs that it is in; no pair is made, open labels with one rectangle are one."""
     return _swept(lines, page, reach, 1.0, False, "count")
