@@ -261,6 +261,19 @@ def test_pairs_become_rows_outside_python_and_labels_cross_batches(spark):
     assert "Generate explode(pairs" in every._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_phrases_are_examined_once_whatever_found_them(spark):
+    rows = [(1, 1, "OWNER:", 0.0), (1, 2, "Blue Sky Engineers Group", 20.0), (1, 3, "Architect: Blue Sky Engineers Group", 40.0), (1, 4, "Blue Sky Engineers Group", 60.0)]
+    lines = spark.createDataFrame(rows, "doc_id long, ord int, text string, y0 double").selectExpr("*", "0D x0", "90D x1", "y0 + 12 AS y1")
+    out = propose.propose_terms(lines, Policy())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("Blue Sky Engineers Group", 7, ["firm_name_pattern", "label_following_line", "labelled_value"])]
+    assert "collect_set" not in plan and "bit_or" in plan
+    names = ["Hatco", "Hatco Corporation", "hatco, Inc., LLC", "(Hatco) ", "Hatcorp", "Hat co", "", None, ", Hatco", "3M Company", "3M,Co.", "Products", "Bay Co Hatco", "American Concrete Institute, Inc"]
+    keys = Policy().allowed
+    both = spark.createDataFrame([(n,) for n in names], "n string").select(T.allow_key(F.col("n")).alias("a"), T.allow_key(F.col("n"), sought=keys).alias("b")).collect()
+    assert [r.a in keys for r in both] == [r.b in keys for r in both] and sum(r.b in keys for r in both) >= 4 and sum(r.b is None for r in both) >= 4
+
+
 def test_items_over_redacted_come_once_and_images_meet_without_pairs(spark):
     from veilspark.operators import spatial
 

@@ -63,14 +63,22 @@ def defined_key(x: Column, chars: str = V.DEFINED_STRIP, affixes: tuple[str, ...
     return let(fold(F.trim(strip(collapse(x), chars))), cut)
 
 
-def allow_key(x: Column, chars: str = V.ALLOW_STRIP, suffixes: tuple[str, ...] = V.COMPANY_SUFFIXES) -> Column:
+def allow_key(x: Column, chars: str = V.ALLOW_STRIP, suffixes: tuple[str, ...] = V.COMPANY_SUFFIXES, sought: frozenset[str] | None = None) -> Column:
+    """Key of a name: trimmed and folded, without company suffixes. With ``sought`` it is null where it can't be one of these keys: cuts at spaces or commas leave the first word."""
+
     def cut(key: Column) -> Column:
         out = key
         for suffix in suffixes:
             out = F.trim(F.regexp_replace(out, java(rf"(?i)[,\s]+{re.escape(suffix)}\.?$"), ""))
         return F.when(key.rlike(java(rf"(?i)[,\s]+(?:{'|'.join(map(re.escape, suffixes))})\.?$")), out).otherwise(key) if suffixes else out
 
-    return fold(let(F.trim(strip(collapse(x), chars)), cut))
+    def kept(key: Column) -> Column:
+        if sought is None:
+            return fold(cut(key))
+        firsts = sorted({re.split("[ ,]", k)[0] for k in sought})
+        return F.when(F.substring_index(F.translate(fold(key), ",", " "), " ", 1).isin(*firsts), fold(cut(key))) if firsts else F.lit(None).cast("string")
+
+    return let(F.trim(strip(collapse(x), chars)), kept)
 
 
 def keyed_digest(key: bytes, x: Column) -> Column:

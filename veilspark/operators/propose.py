@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filename_phrase, normalized, redactable
 from ..policy import Policy, java
 from .labels import LABEL_VALUE, following_counts, is_firm, label_value
+from .layout import tasks
 from .suppress import proposal_rejection
 
 _ANY_LABEL = java(r"^[A-Za-z][A-Za-z/&'. -]{1,38}:\s+(\S.*)$")
@@ -28,17 +31,15 @@ def propose_terms(lines: DataFrame, policy: Policy, paths: DataFrame | None = No
     """lines(doc_id, ord, text, x0..y1) to (term, occurrences, reasons), in the terms' order."""
     text = normalized(F.col("text"))
     parts = [
-        lines.select(label_value(text).alias("value"), F.lit("labelled_value").alias("why")).where("value is not null"),
-        following_counts(lines).select("value", F.lit("label_following_line").alias("why"), F.col("labels").alias("n")),
-        lines.where(is_firm(text)).select(text.alias("value"), F.lit("firm_name_pattern").alias("why")),
+        (lines.select(label_value(text).alias("value")).where("value is not null"), "labelled_value"),
+        (following_counts(lines), "label_following_line"),
+        (lines.where(is_firm(text)).select(text.alias("value")), "firm_name_pattern"),
     ]
     if paths is not None:
-        parts.append(paths.select(filename_phrase(F.col("path")).alias("value"), F.lit("source_filename").alias("why")).where("value is not null"))
-    parts = [p if "n" in p.columns else p.withColumn("n", F.lit(1).cast("long")) for p in parts]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    every = every.groupBy("value", "why").agg(F.sum("n").alias("n"))  # each distinct phrase is examined once
+        parts.append((paths.select(filename_phrase(F.col("path")).alias("value")).where("value is not null"), "source_filename"))
+    reasons = [why for _, why in parts]  # a bit each
+    every = reduce(DataFrame.union, [p.select("value", (F.col("labels") if "labels" in p.columns else F.lit(1)).cast("long").alias("n"), F.lit(1 << k).alias("why")) for k, (p, _) in enumerate(parts)])
+    every = every.groupBy("value").agg(F.sum("n").alias("n"), F.bit_or("why").alias("why")).repartition(tasks(lines))  # each distinct phrase is examined once, by all cores
     every = computed(every, "term", normalized(F.col("value")))
     for step in ("once", "twice"):  # up to two labels
         every = computed(every, step, without_label(F.col("term"))).drop("term").withColumnRenamed(step, "term")
@@ -46,4 +47,6 @@ def propose_terms(lines: DataFrame, policy: Policy, paths: DataFrame | None = No
     words = F.size(F.regexp_extract_all("term", F.lit(java(r"\w+")), F.lit(0)))
     every = every.where((words >= 2) & (F.length(F.regexp_replace("term", r"[^\p{L}\p{Nd}]", "")) >= 7))
     every = computed(every, "rejected", proposal_rejection(F.col("term"), policy)).where("rejected is null")
-    return every.groupBy("term").agg(F.sum("n").alias("occurrences"), F.array_sort(F.collect_set("why")).alias("reasons")).orderBy(F.lower("term"), "term")
+    every = every.groupBy("term").agg(F.sum("n").alias("occurrences"), F.bit_or("why").alias("why"))
+    named = F.filter(F.array(*[F.when(F.col("why").bitwiseAND(1 << reasons.index(w)) != 0, F.lit(w)) for w in sorted(reasons)]), lambda w: w.isNotNull())
+    return every.select("term", "occurrences", named.alias("reasons")).orderBy(F.lower("term"), "term")

@@ -41,14 +41,14 @@ def structural_name(x: Column, policy: Policy) -> Column:
 
     def named(x: Column, bare: Column) -> Column:
         rules = [F.when(x.rlike(r := java(rf"(?i)\A(?:{p})\z")) | ((bare != "") & bare.rlike(r)), F.lit(name)) for name, p in policy.structural]
-        return F.when(x.rlike(every) | ((bare != "") & bare.rlike(every)), F.coalesce(*rules)) if plain else F.coalesce(*rules)
+        return F.when(x.rlike(every) | ((bare != "") & (bare != x) & bare.rlike(every)), F.coalesce(*rules)) if plain else F.coalesce(*rules)
 
     return T.let(x, lambda x: T.let(T.strip(x, _BARE), lambda bare: named(x, bare)))
 
 
 def suppression_reason(x: Column, policy: Policy) -> Column:
     def first(x: Column) -> Column:
-        defined, allowed = T.defined_key(x, policy.defined_strip, policy.defined_affixes), T.allow_key(x, policy.allow_strip, policy.allow_suffixes)
+        defined, allowed = T.defined_key(x, policy.defined_strip, policy.defined_affixes), T.allow_key(x, policy.allow_strip, policy.allow_suffixes, policy.allowed)
         return F.coalesce(
             F.when(x == "", F.lit("empty")),
             T.let(defined, lambda d: F.when(_one_of(d, policy.defined), F.concat(F.lit("contract_defined_term:"), d))),
@@ -108,16 +108,16 @@ def shape_rejection(x: Column) -> Column:
     flip = F.exists(tokens, lambda t: (lambda b: b.rlike(r"^[A-Za-z]{4,}$") & ~b.rlike("^(?:Mc|Mac|De|Di|La|Le|Van|Von|O)[A-Z]") & b.rlike("[a-z][A-Z]"))(F.btrim(t, F.lit(".,:;'\"()[]-"))))
     first = F.get(F.filter(words, lambda w: w.rlike(r"^\p{L}")), F.lit(0))
     function = F.size(F.filter(words, lambda w: F.lower(w).isin(*V.FUNCTION_WORDS)))
+    prose = T.let(function, lambda n: F.when(n >= V.MAX_FUNCTION_WORDS, F.lit("prose:function_words")).when((n > 0) & (F.size(words) >= V.PROSE_TOKEN_THRESHOLD), F.lit("prose:long_with_function_word")))
     return F.coalesce(
         F.when(odd / n > V.MAX_MOJIBAKE_RATIO, F.lit("mojibake")),
         F.when(F.size(tokens) > V.MAX_TOKENS, F.concat(F.lit("too_many_tokens:"), F.size(tokens))),
         F.when(F.length(F.regexp_replace(x, r"[^\p{L}\p{Nd}]", "")) < V.MIN_ALNUM_CHARS, F.lit("too_few_alnum_chars")),
         F.when(letters / n < V.MIN_ALPHA_RATIO, F.lit("low_alpha_ratio")),
         F.when(x.rlike(java(r"\w[._]{2,}\w")), F.lit("garbage:repeated_punctuation")),
-        F.when(flip, F.lit("garbage:internal_case_flip")),
+        F.when(x.rlike("[a-z][A-Z]") & flip, F.lit("garbage:internal_case_flip")),
         F.when(x.endswith(".") & first.rlike(r"^\p{Ll}") & (F.lower(first) == first), F.lit("prose:sentence_fragment")),
-        F.when(function >= V.MAX_FUNCTION_WORDS, F.lit("prose:function_words")),
-        F.when((function > 0) & (F.size(words) >= V.PROSE_TOKEN_THRESHOLD), F.lit("prose:long_with_function_word")),
+        prose,
     )
 
 
@@ -126,6 +126,7 @@ def proposal_rejection(x: Column, policy: Policy) -> Column:
 
     def first(x: Column) -> Column:
         glyphs = [F.when(F.contains(x, F.lit(g)), F.lit(f"glyph:{g}")) for g in V.REJECTED_GLYPHS]
-        return F.coalesce(F.when(x == "", F.lit("empty")), *glyphs, F.when(~identifier_shaped(x), shape_rejection(x)), suppression_reason(x, policy))
+        odd = T.let(shape_rejection(x), lambda why: F.when(why.isNotNull() & ~identifier_shaped(x), why))  # few phrases have an odd shape, so most aren't tried for identifiers
+        return F.coalesce(F.when(x == "", F.lit("empty")), *glyphs, odd, suppression_reason(x, policy))
 
     return T.let(F.trim(T.collapse(x)), first)
