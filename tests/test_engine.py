@@ -176,6 +176,27 @@ def test_row_clusters_against_brute_force(spark):
     assert set(got) == want and len(got) == len(want) > 60
 
 
+def test_row_clusters_cross_batches_and_leave_no_order_open(spark):
+    rng = random.Random(9)
+    words = [(d, 1, f"w{i}", float(rng.randrange(12) * 70), float(rng.randrange(3) * 30 if d else 5), 30.0, 10.0) for d in range(3) for i in range((300, 90, 1)[d])] + [(None, 1, "a", 0.0, 0.0, 9.0, 9.0), (None, 1, "b", 500.0, 0.0, 9.0, 9.0), (7, None, "c", None, 0.0, 9.0, 9.0), (7, None, None, 1.0, None, 9.0, 9.0)]
+    kinds = "doc_id long, page int, text string, x double, y double, w double, h double"
+    made = []
+    for rows, size in ((words, 10000), (words[::-1], 32), (rng.sample(words, len(words)), 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            out = layout.cluster_rows(spark.createDataFrame(rows, kinds))
+            made.append(Counter(tuple(r) for r in out.collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made[0] == made[1] == made[2]
+    rows = {k[:3] for k in made[0]}
+    assert {k for k in made[0] if k[0] is None} == {(None, 1, 0, 0, "a"), (None, 1, 0, 1, "b")} and {k for k in made[0] if k[0] == 7} == {(7, None, 0, 0, "c"), (7, None, 1, 0, "")}
+    assert {k for k in rows if k[0] == 0} == {(0, 1, 0)} and {k for k in rows if k[0] == 1} == {(1, 1, 0), (1, 1, 1), (1, 1, 2)}
+    (text,) = (k[4] for k in made[0] if k[0] == 0)
+    assert text.split() == [w[2] for w in sorted((w for w in words if w[0] == 0), key=lambda w: (w[3], w[2]))]
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_every_word_of_the_table_is_clustered(spark):
     sf = "/root/testdata/sf0.001"
     out = queries.QUERIES["ocr_row_cluster"](spark, sf).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,35 +58,83 @@ def page_kind(pages: DataFrame, chars: str = "chars", ratio: str = "ratio") -> D
     return pages.withColumn("page_kind", F.when((c >= 20) & (r >= 0.02), "mixed").when(c >= 20, "searchable").otherwise("raster")).withColumn("needs_raster", (c < 20) | (r >= 0.02))
 
 
+def _clusters(schema):
+    """One pass over words in the order of (doc_id, page, cy, x), for mapInArrow; it holds a batch and the open row."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def fresh(column):
+            return np.append(True, pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False) | np.diff(column.is_null().to_numpy(zero_copy_only=False).astype(np.int8)).astype(bool))
+
+        def number(column):
+            return pc.fill_null(column, np.nan).to_numpy(zero_copy_only=False)
+
+        held, open_row, total, size = None, 0, 0.0, 0  # the words of the open row, its number in its page, the sum and number of its centres
+
+        def clustered(x, old, last):
+            """Rows that have ended; ``old`` words at the front are the open row, which stays one."""
+            nonlocal held, open_row, total, size
+            n = x.num_rows
+            new_page = fresh(x.column(0)) | fresh(x.column(1))
+            cy, h = number(x.column(2)), number(x.column(5))
+            reach = np.fmax(8.0, 0.6 * h).tolist()
+            begins = new_page.copy()
+            for i, c, r, page in zip(range(old, n), cy[old:].tolist(), reach[old:], new_page[old:].tolist(), strict=True):
+                if page or not abs(c - total / size) <= r:
+                    begins[i], total, size = True, c, 1
+                else:
+                    total += c
+                    size += 1
+            starts = np.flatnonzero(begins)
+            row = np.cumsum(begins) - 1
+            page_at = np.flatnonzero(new_page)
+            before = row[page_at][np.cumsum(new_page) - 1]  # the row that its page begins with
+            in_page = row - before + np.where(np.cumsum(new_page) == 1, open_row if old else 0, 0)
+            cut, open_row = n if last else int(starts[-1]), int(in_page[-1])
+            held = x.slice(cut)
+            if not cut:
+                return
+            left, width = number(x.column(3))[:cut], number(x.column(4))[:cut]
+            limit = np.fmax(100.0, 4 * np.fmax.reduceat(h[:cut], starts[starts < cut]))
+            order = np.lexsort((left, row[:cut]))  # stable: words at one edge stay from top to bottom
+            left, width, row = left[order], width[order], row[:cut][order]
+            edge = np.append(True, (row[1:] != row[:-1]) | (left[1:] - (left[:-1] + width[:-1]) > limit[row[1:]]))
+            parts = np.flatnonzero(edge)
+            ordinal = np.arange(len(parts))
+            first_part = np.flatnonzero(np.diff(row[parts], prepend=-1))
+            segment = ordinal - first_part[row[parts]]
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(parts, cut), pa.int32()), x.column(6).take(pa.array(order))), " ")
+            at = pa.array(order[parts])
+            arrays = [x.column(0).take(at), x.column(1).take(at), pa.array(in_page[order[parts]]), pa.array(segment), texts]
+            yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                old = held.num_rows if held is not None else 0
+                yield from clustered(pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if old else batch, old, False)
+        if held is not None and held.num_rows:
+            yield from clustered(held, held.num_rows, True)
+
+    return run
+
+
 def cluster_rows(words: DataFrame) -> DataFrame:
-    """Words of each page to rows by a running mean of centres, rows to segments at wide gaps (order-dependent, so by page in Python).
+    """Words of each page to rows by a running mean of centres, rows to segments at wide gaps (order-dependent, so swept in Python).
 
-    words(doc_id, page, text, x, y, w, h) to (doc_id, page, row, segment, text).
+    words(doc_id, page, text, x, y, w, h) to (doc_id, page, row, segment, text). Words are read once in the order of their
+    centres; many small pages share a batch, of a large page only the open row is held. Words at the same place are ordered
+    by width, height and text.
     """
-
-    def page_rows(pdf):
-        import pandas as pd
-
-        pdf = pdf.assign(cy=pdf.y + pdf.h / 2).sort_values(["cy", "x"], kind="stable")
-        rows: list[list] = []
-        total = 0.0  # of the open row's centres
-        for w in pdf.itertuples():
-            if rows and abs(w.cy - total / len(rows[-1])) <= max(8.0, 0.6 * w.h):
-                rows[-1].append(w)
-                total += w.cy
-            else:
-                rows.append([w])
-                total = w.cy
-        out = []
-        for k, row in enumerate(rows):
-            segment, held = 0, []
-            limit = max(100.0, 4 * max(v.h for v in row))
-            for w in sorted(row, key=lambda v: v.x):
-                if held and w.x - (held[-1].x + held[-1].w) > limit:
-                    out.append((w.doc_id, w.page, k, segment, " ".join(v.text for v in held)))
-                    segment, held = segment + 1, []
-                held.append(w)
-            out.append((row[0].doc_id, row[0].page, k, segment, " ".join(v.text for v in held)))
-        return pd.DataFrame(out, columns=["doc_id", "page", "row", "segment", "text"])
-
-    return words.groupBy("doc_id", "page").applyInPandas(page_rows, "doc_id long, page int, row int, segment int, text string")
+    from pyspark import cloudpickle
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import IntegerType, LongType, StringType, StructType
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+    out = StructType().add("doc_id", LongType()).add("page", IntegerType()).add("row", IntegerType()).add("segment", IntegerType()).add("text", StringType())
+    x, y, w, h = (F.col(k).cast("double") for k in "xywh")
+    placed = words.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), (y + h / 2).alias("cy"), x.alias("x"), w.alias("w"), h.alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = by_page(placed, ("doc_id", "page")).sortWithinPartitions("doc_id", "page", *[F.col(k).asc_nulls_last() for k in ("cy", "x", "w", "h", "text")])
+    return placed.mapInArrow(_clusters(to_arrow_schema(out)), out)
