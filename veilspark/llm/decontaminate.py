@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches
+from .scratch import bounded_batches, giving_back
 
 
 def normal(text: str | None) -> str:
@@ -155,7 +155,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate:
                 rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in matcher.search(normal(text))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
 
-        out = out.union(docs.mapInArrow(work, "doc_id long, item_id long, distance int, budget int, ends_at long"))
+        out = out.union(docs.mapInArrow(giving_back(work), "doc_id long, item_id long, distance int, budget int, ends_at long"))
     return out
 
 
@@ -171,5 +171,5 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate:
             for batch in batches:
                 yield batch.filter(pa.array([next(matcher.search(normal(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(giving_back(work), docs.schema)
     return docs

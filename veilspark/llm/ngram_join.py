@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, bloom_of, bounded_batches, in_bloom
+from .scratch import Scratch, bloom_of, bounded_batches, giving_back, in_bloom
 from .shingles import mix, shingle_sets
 
 _SINGLE_WEIGHT = 64
@@ -118,7 +118,7 @@ class NgramJoin:
             if parts:
                 yield counted(parts, block)
 
-        return docs.mapInArrow(work, "kind byte, id long, key long, n long")
+        return docs.mapInArrow(giving_back(work), "kind byte, id long, key long, n long")
 
     def _frequent(self, measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         top = measured.where("kind = 1").groupBy("id").agg(F.sum("n").alias("df")).where(F.col("df") >= self.least_frequent)
@@ -162,7 +162,7 @@ class NgramJoin:
                     size = [len(x[0]) for x in out]
                     yield pa.record_batch([_i64(np.concatenate([x[0] for x in out])), _i64(np.repeat([x[1] for x in out], size)), pa.array(np.repeat([x[2] for x in out], size).astype(np.int32)), pa.array(np.concatenate([x[3] for x in out]))], schema=schema)
 
-        return docs.mapInArrow(work, "token long, key long, n int, salt int")
+        return docs.mapInArrow(giving_back(work), "token long, key long, n int, salt int")
 
     def _lists(self, postings: DataFrame) -> DataFrame:
         """(token, key, n) of posting lists of two classes or more, and of every part of a salted list, once each.
@@ -192,7 +192,7 @@ class NgramJoin:
                     open_row, alone = (int(token[fresh[-1]]), int(key[fresh[-1]]), int(n[fresh[-1]])), not send[-1]
                 last = (token[-1], key[-1], salt[-1])
 
-        return postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(work, "token long, key long, n int")
+        return postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(giving_back(work), "token long, key long, n int")
 
     def _stars(self, crowd: DataFrame, turn: int) -> DataFrame:
         """(a, b): pairs of a list's centre and its members that aren't linked yet."""
@@ -315,7 +315,7 @@ class NgramJoin:
                     x, y = x[pick], y[pick]
                     yield emit(names[x], names[y], size[x], size[y], counts[0][pick])
 
-        made = short.union(crowded).repartition("big", "family", "i", "j").sortWithinPartitions("big", "family", "i", "j", "token", "n").mapInArrow(work, "a long, b long, na int, nb int, shared int")
+        made = short.union(crowded).repartition("big", "family", "i", "j").sortWithinPartitions("big", "family", "i", "j", "token", "n").mapInArrow(giving_back(work), "a long, b long, na int, nb int, shared int")
         pairs = made.groupBy("a", "b").agg(F.max("na").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"), F.sum("shared").alias("shared"))
         n, m = F.col("na"), F.col("nb")
         rest = F.greatest(F.ceil(t_num * n / t_den), F.ceil(t_num * m / t_den)) - 1
@@ -352,10 +352,10 @@ class NgramJoin:
                 if keys:
                     yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.array(held, pa.binary())], schema=schema)
 
-        known = docs.mapInArrow(sets, "key long, n int, signature binary, tokens binary")
+        known = docs.mapInArrow(giving_back(sets), "key long, n int, signature binary, tokens binary")
         if self._repeats:  # the same row again and again: one of them
             known = known.dropDuplicates(["key"])
-        return self.scratch.save(known, "sets")
+        return self.scratch.save(known, "sets", wide=True)
 
     def _meet(self, pairs: DataFrame, known: DataFrame, *fields: str) -> DataFrame:
         """(a, b, key, fields) for both ends of each pair, the two rows side by side.
@@ -374,7 +374,7 @@ class NgramJoin:
                 for batch in batches:
                     yield batch.filter(pa.array(in_bloom(bloom.value, _column(batch, "key"))))
 
-            rows = rows.mapInArrow(wanted, rows.schema)
+            rows = rows.mapInArrow(giving_back(wanted), rows.schema)
         return rows.join(ends, "key").select("a", "b", "key", *fields).repartition("a", "b").sortWithinPartitions("a", "b", "key")
 
     def _filtered(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ class NgramJoin:
             return all(_common(u, v) >= least for u, v in zip(x, y, strict=True))
 
         met = self._meet(pairs, known, "n", "signature")
-        return self.scratch.save(met.mapInArrow(_two_by_two(passes), "a long, b long"), "filtered", self._rows)
+        return self.scratch.save(met.mapInArrow(giving_back(_two_by_two(passes)), "a long, b long"), "filtered", self._rows)
 
     def _compare(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """The pairs (a, b) of class keys that link: those that all orders let pass, on whole sets."""
@@ -398,7 +398,7 @@ class NgramJoin:
             return t_den * shared >= t_num * (n + m - shared)
 
         met = self._meet(self._filtered(pairs, known), known, "n", "tokens")
-        return self.scratch.save(met.mapInArrow(_two_by_two(linked), "a long, b long"), "links", self._rows)
+        return self.scratch.save(met.mapInArrow(giving_back(_two_by_two(linked)), "a long, b long"), "links", self._rows)
 
     def _crowds(self, lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): links of centres of crowded lists."""
@@ -483,7 +483,7 @@ def without_ids(spark: SparkSession, docs: DataFrame, gone: DataFrame, few: int
                 hit = in_bloom(bloom.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(hit == want))
 
-        return docs.mapInArrow(work, docs.schema)
+        return docs.mapInArrow(giving_back(work), docs.schema)
 
     return picked(False).unionAll(picked(True).join(named, column == F.col("__gone"), "left_anti"))
 

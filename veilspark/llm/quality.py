@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches
+from .scratch import bounded_batches, giving_back
 from .shingles import batches as parts_of
 from .shingles import mix
 
@@ -256,7 +256,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, lea
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(work), "doc_id long, score double")
     held_out = F.coalesce(_fold("doc_id", folds) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
@@ -271,4 +271,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: fl
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist()) >= least))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(giving_back(work), docs.schema)

@@ -7,6 +7,7 @@ never a result.  Only where no such folder is set and the master is local (tests
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .shingles import mix
 
 
+#: For tables of wide values that don't compress (sets of hashes): a writer holds one row group, so small ones; no dictionary, no codec's buffers.
+_WIDE = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "10", "parquet.page.size.row.check.min": "10", "parquet.enable.dictionary": "false", "compression": "none"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,12 +50,12 @@ class Scratch:
     def _fs(self, where: str):
         return self._path(where).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame, name: str, rows: int | None = None, each: int = 500_000) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None, each: int = 500_000, wide: bool = False) -> DataFrame:
         """Write and reread: cuts the lineage, and fixes what later steps see.
 
         The shuffle files of the write go as soon as it ends, not when the driver happens to collect its garbage.
         ``rows``: about how many narrow rows there will be; tasks of the last stage are joined until each writes about ``each``,
-        so that many shuffle partitions don't become many small files.
+        so that many shuffle partitions don't become many small files.  ``wide``: rows of kilobytes that don't compress.
         """
         if rows is not None:
             df = df.coalesce(1 + rows // each)
@@ -60,7 +63,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(where)
+            df.write.options(**_WIDE if wide else {}).parquet(where)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(where)
@@ -95,7 +98,7 @@ def bloom_of(ids: DataFrame, column: str, most_bits: int = 1 << 27) -> np.ndarra
             flags = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), starts) if len(word) else np.empty(0, dtype=np.uint64)
             yield pa.record_batch([pa.array(word[starts]), pa.array(flags.view(np.int64))], names=["word", "flags"])
 
-    got = ids.mapInArrow(words, "word long, flags long").groupBy("word").agg(F.bit_or("flags").alias("flags")).toArrow()
+    got = ids.mapInArrow(giving_back(words), "word long, flags long").groupBy("word").agg(F.bit_or("flags").alias("flags")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
     out[got["word"].to_numpy()] = got["flags"].to_numpy()
     return out.view(np.uint64)
@@ -109,9 +112,27 @@ def in_bloom(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Bounds the Arrow batches that go to Python in bytes, so that long texts or sets stay small in memory."""
+def bounded_batches(spark: SparkSession, size: str = "4m", rows: int = 512) -> None:
+    """Bounds the Arrow batches that go to Python in bytes, and those of Parquet's reader in rows, so that long texts or sets stay small in memory.
+
+    The reader holds a batch's values of a column in one array that doubles as it grows: 4,096 sets of 7 kB are 64 MB in one piece.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
+def giving_back(work):
+    """``work`` of a mapInArrow whose worker returns its free memory when a task ends: idle workers count as their executor's memory."""
+
+    def trimmed(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return trimmed
 
 
-__all__ = ["Scratch", "bloom_of", "bounded_batches", "in_bloom", "shared_folder"]
+__all__ = ["Scratch", "bloom_of", "bounded_batches", "giving_back", "in_bloom", "shared_folder"]

@@ -12,6 +12,7 @@ groups.  So the result is exact, and what reaches the driver doesn't grow with t
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +129,8 @@ def solve(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         at = np.array(sorted(opened))
         bits = int(cells[at, 1].min())
         at = at[cells[at, 1] == bits]
-        wanted = groups.sparkSession.createDataFrame([(int(k) >> (64 - bits),) for k in cells[at, 0]], "cell long")
+        # as an Arrow table: a list would be read by Python workers, which then stay with the executors
+        wanted = groups.sparkSession.createDataFrame(pa.table({"cell": pa.array([int(k) >> (64 - bits) for k in cells[at, 0]], pa.int64())}))
         finer = _cells(groups.withColumn("cell", F.expr(f"shiftright(h, {64 - bits})")).join(F.broadcast(wanted), "cell", "left_semi"), bits + 16)
         cells = np.concatenate([np.delete(cells, at, axis=0), finer])
         cells = cells[np.argsort(cells[:, 0], kind="stable")]
